@@ -17,6 +17,20 @@ def op2_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op8_weighted_fair_mix(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 3))
+
+
+def op9_suffix_array_rules(spark, sf_dir):
+    from .quality_rules import quality_stats
+
+    return quality_stats(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark, sf_dir):
     from .tokens import token_counts
 
@@ -26,9 +40,13 @@ def op10_token_counts(spark, sf_dir):
 def queries() -> dict:
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op8_weighted_fair_mix": op8_weighted_fair_mix,
+        "op9_suffix_array_rules": op9_suffix_array_rules,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .mixing import MIX_SQL
+
+    return {"op8_weighted_fair_mix": MIX_SQL}
