@@ -11,12 +11,24 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark, sf_dir):
+    from .line_dedup import duplicate_lines
+
+    return duplicate_lines(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark, sf_dir):
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op7_license_scan(spark, sf_dir):
+    from .license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op8_weighted_fair_mix(spark, sf_dir):
     from pyspark.sql import functions as F
 
@@ -39,7 +51,9 @@ def op10_token_counts(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op7_license_scan": op7_license_scan,
         "op8_weighted_fair_mix": op8_weighted_fair_mix,
         "op9_suffix_array_rules": op9_suffix_array_rules,
         "op10_token_counts": op10_token_counts,
@@ -47,6 +61,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    from .license_scan import scan_sql
+    from .line_dedup import LINES_SQL
     from .mixing import MIX_SQL
 
-    return {"op8_weighted_fair_mix": MIX_SQL}
+    return {"op1_line_dedup": LINES_SQL, "op7_license_scan": scan_sql(), "op8_weighted_fair_mix": MIX_SQL}
