@@ -23,6 +23,13 @@ def op2_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op5_factorisation_machine(spark, sf_dir):
+    from .quality_model import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_license_scan(spark, sf_dir):
     from .license_scan import scan
 
@@ -53,6 +60,7 @@ def queries() -> dict:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op5_factorisation_machine": op5_factorisation_machine,
         "op7_license_scan": op7_license_scan,
         "op8_weighted_fair_mix": op8_weighted_fair_mix,
         "op9_suffix_array_rules": op9_suffix_array_rules,
