@@ -23,6 +23,16 @@ def op2_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op3_substring_dedup(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .substring_dedup import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("repeats").alias("n_repeats")
+    )
+
+
 def op5_factorisation_machine(spark, sf_dir):
     from .quality_model import score, train
 
@@ -60,6 +70,7 @@ def queries() -> dict:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_substring_dedup": op3_substring_dedup,
         "op5_factorisation_machine": op5_factorisation_machine,
         "op7_license_scan": op7_license_scan,
         "op8_weighted_fair_mix": op8_weighted_fair_mix,
