@@ -40,6 +40,12 @@ def op5_factorisation_machine(spark, sf_dir):
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_minhash_odd_sketch(spark, sf_dir):
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark, sf_dir):
     from .license_scan import scan
 
@@ -72,6 +78,7 @@ def queries() -> dict:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_substring_dedup": op3_substring_dedup,
         "op5_factorisation_machine": op5_factorisation_machine,
+        "op6_minhash_odd_sketch": op6_minhash_odd_sketch,
         "op7_license_scan": op7_license_scan,
         "op8_weighted_fair_mix": op8_weighted_fair_mix,
         "op9_suffix_array_rules": op9_suffix_array_rules,
