@@ -33,6 +33,12 @@ def op3_substring_dedup(spark, sf_dir):
     )
 
 
+def op4_cover_tree(spark, sf_dir):
+    from .embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_factorisation_machine(spark, sf_dir):
     from .quality_model import score, train
 
@@ -77,6 +83,7 @@ def queries() -> dict:
         "op1_line_dedup": op1_line_dedup,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_cover_tree": op4_cover_tree,
         "op5_factorisation_machine": op5_factorisation_machine,
         "op6_minhash_odd_sketch": op6_minhash_odd_sketch,
         "op7_license_scan": op7_license_scan,
