@@ -17,15 +17,18 @@ PERCENT = 80
 #: 32 bands of 4 with probability (1 - 0.8^4)^32 < 5e-8.
 SAMPLES = 128
 BAND_ROWS = 4
-#: Bits of an odd sketch. Its estimate at 0.8 has a standard deviation of about 0.045.
+#: Bits of an odd sketch of the samples. Its estimate at 0.8 has a standard deviation of
+#: about 0.045; it ranks a class's candidates.
 SKETCH_BITS = 512
-#: How far below the threshold an estimate may lie for a pair to be compared in full.
-MARGIN = 0.25
+#: Bits of an odd sketch of a whole set. Its XOR has no more bits than the sets differ in
+#: shingles, so it rules pairs out for certain.
+PARITY_BITS = 2048
 
 _LAST = (1 << 63) - 1
 
 SIGNATURE_SCHEMA = "id long, n long, d1 long, d2 long, bands array<long>, sketch binary"
 MEMBER_SCHEMA = "u long, v long"
+SET_SCHEMA = "id long, shingles array<long>, parity binary"
 
 
 def shingle_sets(texts: pa.Array, width: int):
@@ -74,6 +77,12 @@ def estimate(differing: np.ndarray, samples: int = SAMPLES, bits: int = SKETCH_B
     return 1 + bits / (4.0 * samples) * np.log(1 - share)
 
 
+def parity_sketch(shingles: np.ndarray, bits: int = PARITY_BITS) -> bytes:
+    """Bit b is the number of shingles that hash to b, modulo two."""
+    odd = np.bincount((mix(shingles) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _signature_batches(width: int):
     def run(batches):
         import xxhash
@@ -106,39 +115,50 @@ def _set_batches(width: int):
         for b in batches:
             for lo, hi in slices(b.column("text")):
                 part = b.slice(lo, hi - lo)
-                sets = [s.view(np.int64) for s in shingle_sets(part.column("text"), width)]
+                sets = list(shingle_sets(part.column("text"), width))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"]
-                )
+                    [part.column("id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                     pa.array([parity_sketch(s) for s in sets], pa.binary())],
+                    ["id", "shingles", "parity"],
+                )
 
     return run
 
 
-def _group_pairs(ids, comp, n, sketch, percent: int, best: int | None):
+def _differing(sketch: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Population counts of the XOR of some rows' sketches with all."""
+    bits = np.zeros((len(rows), len(sketch)), np.int32)
+    for k in range(sketch.shape[1]):
+        bits += np.bitwise_count(sketch[rows, k][:, None] ^ sketch[None, :, k])
+    return bits
+
+
+def _group_pairs(ids, comp, n, sketch, parity, percent: int, best: int | None):
     """Pairs of one bucket worth comparing in full: of different components, of sizes
-    that allow the threshold, and not far below it by their sketches. With `best`, for
-    each row outside the bucket's largest component only so many, the likeliest."""
+    that allow the threshold, and whose whole sets' odd sketches allow it: similarity of
+    p percent and sizes a, b leave (a + b)(100 - p) / (100 + p) shingles to differ in,
+    and no sketches differ in more bits than that. With `best`, for each row outside
+    the bucket's largest component only so many, the likeliest by their samples."""
     g = len(ids)
     names, where, counts = np.unique(comp, return_inverse=True, return_counts=True)
     outside = np.flatnonzero(where != counts.argmax()) if best else np.arange(g)
     step = max(1, (1 << 21) // max(g, 1))
     for lo in range(0, len(outside), step):
         rows = outside[lo : lo + step]
-        bits = np.zeros((len(rows), g), np.int64)
-        for k in range(sketch.shape[1]):
-            bits += np.bitwise_count(sketch[rows, k][:, None] ^ sketch[None, :, k])
-        sim = estimate(bits)
-        low, high = np.minimum(n[rows][:, None], n[None, :]), np.maximum(n[rows][:, None], n[None, :])
-        ok = (sim >= percent / 100 - MARGIN) & (100 * low >= percent * high) & (comp[rows][:, None] != comp[None, :])
-        if best and g > best + 1:
-            sim = np.where(ok, sim, -1.0)
+        a, b = n[rows][:, None], n[None, :]
+        ok = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (comp[rows][:, None] != comp[None, :])
+        if not ok.any():
+            continue
+        ok &= (100 + percent) * _differing(parity, rows) <= (100 - percent) * (a + b)
+        if best and g > best + 1 and ok.any():
+            sim = np.where(ok, estimate(_differing(sketch, rows)), -9.0)
             top = np.argpartition(-sim, best - 1, axis=1)[:, :best]
             keep = np.zeros_like(ok)
             np.put_along_axis(keep, top, True, axis=1)
             ok &= keep
         i, j = np.nonzero(ok)
-        a, b = ids[rows[i]], ids[j]
-        yield np.minimum(a, b), np.maximum(a, b)
+        u, v = ids[rows[i]], ids[j]
+        yield np.minimum(u, v), np.maximum(u, v)
 
 
 def _bucket_batches(percent: int, best: int | None):
@@ -162,14 +182,17 @@ def _bucket_batches(percent: int, best: int | None):
     def run(batches):
         for t in whole_groups(batches):
             col = {c: np.asarray(t.column(c).combine_chunks()) for c in ("key", "id", "comp", "n")}
-            raw = b"".join(t.column("sketch").to_pylist())
-            sketch = np.frombuffer(raw, np.uint64).reshape(len(col["id"]), -1)
+            sketch, parity = (
+                np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64).reshape(len(col["id"]), -1)
+                for c in ("sketch", "parity")
+            )
             heads = np.flatnonzero(np.concatenate([[True], col["key"][1:] != col["key"][:-1]]))
             us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for lo, hi in zip(heads, np.append(heads[1:], len(col["key"]))):
                 if hi - lo < 2:
                     continue
-                for u, v in _group_pairs(*(col[c][lo:hi] for c in ("id", "comp", "n")), sketch[lo:hi], percent, best):
+                own = [col[c][lo:hi] for c in ("id", "comp", "n")]
+                for u, v in _group_pairs(*own, sketch[lo:hi], parity[lo:hi], percent, best):
                     us.append(u)
                     vs.append(v)
             pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)]), axis=1)
@@ -190,13 +213,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _open_members(members: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
-    """Bucket members with their components, of buckets that hold several."""
+def _open_members(members: DataFrame, comps: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Bucket members with their components and sketches, of buckets that hold several."""
     m = members.join(comps, "id", "left").select(
         "key", "id", F.coalesce("component_id", "id").alias("comp")
     )
     split = m.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    return m.join(split, "key").join(reps.select("id", "n", "sketch"), "id").select("key", "id", "comp", "n", "sketch")
+    sketches = reps.select("id", "n", "sketch").join(sets.select("id", "parity"), "id")
+    return m.join(split, "key").join(sketches, "id").select("key", "id", "comp", "n", "sketch", "parity")
 
 
 def near_duplicates(
@@ -214,9 +238,9 @@ def near_duplicates(
     meet in a bucket, and candidates are confirmed on full sets, in three rounds:
     each class with the bucket leader it meets most often; then, in buckets that still
     hold several components, each class outside the largest with the three likeliest
-    others by odd sketch; then all pairs of different components there whose sketches
-    don't rule the threshold out. So large groups come together over few pairs, and no
-    possible link between components is left untried.
+    others by odd sketch of their samples; then all pairs of different components there
+    that the odd sketches of their whole sets don't rule out for certain. So large groups
+    come together over few pairs, and no possible link between components is left untried.
 
     Returns per row: id, n_shingles, component_id (smallest id reachable over links of at
     least `percent` percent), kept (id = component_id). Null and empty texts have no
@@ -239,11 +263,11 @@ def near_duplicates(
 
     active = members.select(F.col("id").alias("rep")).distinct()
     held = base.join(active, F.col("id") == F.col("rep")).select("id", "text")
-    sets = materialize(held.mapInArrow(_set_batches(width), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+    sets = materialize(held.mapInArrow(_set_batches(width), SET_SCHEMA).dropDuplicates(["id"]), "sets")
     links = materialize(_confirmed(tried, sets, percent), "links")
     comps = components(links)
     for best in (3, None):
-        left = _open_members(members.drop("lead"), comps, reps)
+        left = _open_members(members.drop("lead"), comps, reps, sets)
         left = left.repartition("key").sortWithinPartitions("key")
         pairs = left.mapInArrow(_bucket_batches(percent, best), MEMBER_SCHEMA).distinct()
         pairs = materialize(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
