@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of timberline.plans that register queries.
-MODULES = ("split_queries", "forest_queries", "analysis_queries")
+MODULES = ("split_queries", "forest_queries", "analysis_queries", "model_queries")
 
 
 def _all(name: str) -> dict:

@@ -45,3 +45,15 @@ def save_model(nodes: DataFrame, path: str) -> None:
 
 def load_model(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder that all executors share, below the checkpoint folder."""
+    import uuid
+
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="timberline-"))
+        base = sc.getCheckpointDir()
+    return f"{base.rstrip('/')}/timberline-{label}-{uuid.uuid4().hex}"
