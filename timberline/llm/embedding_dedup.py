@@ -243,36 +243,32 @@ def _cells(reps: DataFrame, block_rows: int, max_pivots: int) -> DataFrame:
     keyed = reps.join(sizes, "group").select("group", "id", "unit", "rows", F.abs(F.xxhash64("id") % 1_000_003).alias("h"))
     share = F.least(F.lit(1.0), 8.0 * (max_pivots + 8) / F.col("rows"))
     w = Window.partitionBy("group").orderBy("h", "id")
+    parts = F.ceil(F.col("rows") / block_rows).cast("int")
     pivots = (
         keyed.filter(F.col("h") <= share * 1_000_003).withColumn("cell", F.row_number().over(w)).join(wanted, "group")
-        .filter("cell <= pivots")
-        .groupBy("group").agg(F.sort_array(F.collect_list(F.struct("cell", F.col("unit").alias("at")))).alias("net"))
+        .filter("cell <= pivots").select("group", "cell", F.col("unit").alias("at"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     )
-    dealt = reps.join(pivots, "group").mapInArrow(
-        _deal_batches, "group string, id long, copies long, unit array<double>, cell int, far double, reach array<double>"
+    dealt = reps.join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), parts).cast("int")).drop("rows")
+    # the pivots come once to every part of a label, not with every row
+    pivots = materialize(pivots, "pivots")
+    return dealt.groupBy("group", "part").cogroup(pivots.groupBy("group", "part")).applyInArrow(
+        _deal, "group string, id long, copies long, unit array<double>, cell int, far double, reach array<double>"
     )
-    return dealt
 
 
-def _deal_batches(batches):
-    for b in batches:
-        if not b.num_rows:
-            continue
-        nets: dict[str, np.ndarray] = {}
-        cells, fars, reaches = [], [], []
-        for g, net, u in zip(b.column("group").to_pylist(), b.column("net"), b.column("unit")):
-            if g not in nets:
-                nets[g] = np.array([p["at"] for p in net.as_py()])
-            d = _distance(np.asarray(u.values)[None, :], nets[g])[0]
-            k = int(d.argmin())
-            cells.append(k)
-            fars.append(float(d[k]))
-            reaches.append(d)
-        yield pa.RecordBatch.from_arrays(
-            [b.column("group"), b.column("id"), b.column("copies"), b.column("unit"), pa.array(cells, pa.int32()),
-             pa.array(fars, pa.float64()), pa.array(reaches, pa.list_(pa.float64()))],
-            ["group", "id", "copies", "unit", "cell", "far", "reach"],
-        )
+def _deal(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+    """Each row's nearest pivot, and its distances to all of them."""
+    matrix = lambda c: np.asarray(c.combine_chunks().flatten()).reshape(len(c), -1)
+    cells, fars, reaches = np.zeros(0, np.int32), np.zeros(0), []
+    if len(rows):
+        net = matrix(pivots.sort_by("cell")["at"])
+        d = _distance(matrix(rows["unit"]), net)
+        cells = d.argmin(1).astype(np.int32)
+        fars, reaches = d.min(1), list(d)
+    return pa.table({
+        "group": rows["group"], "id": rows["id"], "copies": rows["copies"], "unit": rows["unit"], "cell": pa.array(cells, pa.int32()),
+        "far": pa.array(fars, pa.float64()), "reach": pa.array(reaches, pa.list_(pa.float64())),
+    })
 
 
 def _tasks(dealt: DataFrame, cosine: float, block_rows: int) -> DataFrame:
@@ -297,28 +293,20 @@ def _tasks(dealt: DataFrame, cosine: float, block_rows: int) -> DataFrame:
         ),
     )
     near = F.filter("cells", lambda c: (c["cell"] > F.col("cell")) & (F.get("reach", c["cell"]) <= c["radius"] + reach))
-    guests = F.flatten(
-        F.transform(
-            near,
-            lambda c: F.transform(
-                F.sequence(F.lit(0), c["chunks"] - 1),
-                lambda k: task(c["cell"], k, -F.col("cell").cast("long") * _CHUNKS - F.col("chunk") - 1, F.lit(True), F.lit(1)),
-            ),
-        )
-    )
-    # a chunk goes as home to the tasks of every guest chunk of an earlier cell
-    before = F.flatten(
-        F.transform(
-            F.filter("cells", lambda c: c["cell"] < F.col("cell")),
-            lambda c: F.transform(
-                F.sequence(F.lit(0), c["chunks"] - 1),
-                lambda k: task(F.col("cell"), F.col("chunk"), -c["cell"].cast("long") * _CHUNKS - k - 1, F.lit(True), F.lit(0)),
-            ),
-        )
-    )
-    return rows.select("group", "id", "copies", "unit", F.explode(F.concat(own, guests, before)).alias("t")).select(
-        "group", "t.cell", "t.a", "t.b", "t.cross", "t.side", "id", "copies", "unit"
+    this = F.col("cell").cast("long") * _CHUNKS + F.col("chunk")
+    columns = ["group", "t.cell", "t.a", "t.b", "t.cross", "t.side", "id", "copies", "unit"]
+    inner = rows.select("group", "id", "copies", "unit", F.explode(own).alias("t")).select(*columns)
+    visits = rows.select("group", "id", "copies", "unit", F.explode(near).alias("c"), (-this - 1).alias("b"))
+    guests = visits.select(
+        "group", F.col("c.cell").alias("cell"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("c.chunks").cast("long") - 1)).alias("a"), "b",
+        F.lit(True).alias("cross"), F.lit(1).alias("side"), "id", "copies", "unit",
+    )
+    # a cell's own rows go to the tasks that guests come to, and to no others
+    hosts = visits.select("group", F.col("c.cell").alias("cell"), "b").distinct()
+    homes = rows.select("group", "cell", F.col("chunk").cast("long").alias("a"), "id", "copies", "unit").join(hosts, ["group", "cell"]).select(
+        "group", "cell", "a", "b", F.lit(True).alias("cross"), F.lit(0).alias("side"), "id", "copies", "unit"
     )
+    return inner.unionByName(guests).unionByName(homes)
 
 
 def near_vectors(
