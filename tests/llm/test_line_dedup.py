@@ -43,7 +43,7 @@ def corpus():
     return rows
 
 
-SCHEMA = "doc_id long, text string, line string, n_chars long"
+SCHEMA = "doc_id long, text string, _left string, n_chars long"
 
 
 def test_lines_equal_brute_force_and_sql(spark, tmp_path):

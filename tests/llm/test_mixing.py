@@ -18,7 +18,7 @@ def rows():
     return out
 
 
-SCHEMA = "doc_id long, text string, source string, taken int"
+SCHEMA = "doc_id long, text string, source string, _turns int"
 
 
 def water_fill(size, weights, share=1.0, cap=3):

@@ -57,7 +57,7 @@ def corpus(seed):
     return rows
 
 
-SCHEMA = "doc_id long, text string, kept string, n int"
+SCHEMA = "doc_id long, text string, _gone string, n int"
 
 
 def test_components_equal_brute_force(spark):

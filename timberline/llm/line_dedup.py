@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import fresh_name, materialize
 
 #: Shorter lines (in characters) are never compared.
 MIN_CHARS = 20
@@ -137,20 +137,21 @@ def without_duplicates(
     duplicate line stay as they are, null and empty ones too. `chars_col`, where there
     is one, is counted anew for changed texts.
     """
+    key, lines, left = (fresh_name(docs, n) for n in ("_gone_id", "_gone", "_left"))
     gone = duplicate_lines(docs, min_chars, id_col, text_col)
-    gone = gone.groupBy(F.col(id_col).alias("_gone_id")).agg(F.collect_set("line").alias("_gone"))
-    rows = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]), "left")
-    parts = F.filter(F.split(docs[text_col], "\n", -1), lambda x, i: ~F.array_contains("_gone", i) | (F.char_length(x) < min_chars))
-    rows = rows.withColumn("_left", F.when(F.col("_gone").isNotNull(), F.array_join(parts, "\n")))
-    rows = rows.filter(F.col("_left").isNull() | F.col("_left").rlike(r"[^\x20\x09-\x0D]"))
+    gone = gone.groupBy(F.col(id_col).alias(key)).agg(F.collect_set("line").alias(lines))
+    rows = docs.join(gone, docs[id_col].eqNullSafe(gone[key]), "left")
+    parts = F.filter(F.split(docs[text_col], "\n", -1), lambda x, i: ~F.array_contains(lines, i) | (F.char_length(x) < min_chars))
+    rows = rows.withColumn(left, F.when(F.col(lines).isNotNull(), F.array_join(parts, "\n")))
+    rows = rows.filter(F.col(left).isNull() | F.col(left).rlike(r"[^\x20\x09-\x0D]"))
     out = []
     for c in docs.columns:
         col = docs[c]
         if c == text_col:
-            col = F.coalesce(F.col("_left"), col)
+            col = F.coalesce(F.col(left), col)
         elif c == chars_col:
             kind = docs.schema[c].dataType
-            col = F.when(F.col("_left").isNotNull(), F.char_length("_left").cast(kind)).otherwise(col)
+            col = F.when(F.col(left).isNotNull(), F.char_length(left).cast(kind)).otherwise(col)
         out.append(col.alias(c))
     return rows.select(*out)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import SPACE_CLASS, materialize, running_total
+from ._common import SPACE_CLASS, fresh_name, materialize, running_total
 
 #: Weights of the sources in code point order, over and over.
 WEIGHTS = (5, 2, 1)
@@ -118,12 +118,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as its turns, with all their columns."""
     id_col = options.get("id_col", "doc_id")
     plan = mix(docs, **options).filter("taken > 0")
-    turns = plan.select(F.col(id_col).alias("_mix_id"), (F.col("taken") / F.col("size")).cast("int").alias("_turns"))
-    turns = turns.groupBy("_mix_id").agg(F.max("_turns").alias("_turns"))
-    joined = docs.join(turns, docs[id_col].eqNullSafe(turns["_mix_id"]))
-    return joined.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_turns")))).select(
-        *[docs[c] for c in docs.columns]
-    )
+    key, times, turn = (fresh_name(docs, n) for n in ("_mix_id", "_turns", "_turn"))
+    turns = plan.select(F.col(id_col).alias(key), (F.col("taken") / F.col("size")).cast("int").alias(times))
+    turns = turns.groupBy(key).agg(F.max(times).alias(times))
+    joined = docs.join(turns, docs[id_col].eqNullSafe(turns[key]))
+    return joined.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[docs[c] for c in docs.columns])
 
 
 #: The same mix for DuckDB: md5 order, finish times, one global running sum.

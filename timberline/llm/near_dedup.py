@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, materialize
+from ._common import components, fresh_name, materialize
 from ._words import mix, slices, window_hashes, word_hashes
 
 #: Words of a shingle, and the least Jaccard similarity of a link, in percent.
@@ -293,5 +293,6 @@ def near_duplicates(
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One document of each group, the one of the smallest id, with all its columns."""
-    gone = near_duplicates(docs, id_col=id_col, **options).filter("not kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone.distinct(), docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    key = fresh_name(docs, "_gone")
+    gone = near_duplicates(docs, id_col=id_col, **options).filter("not kept").select(F.col(id_col).alias(key)).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone[key]), "left_anti")
