@@ -64,3 +64,14 @@ def test_other_lengths_spans_and_edges(spark):
     assert without_repeats(df.limit(0)).count() == 0
     twice = spark.createDataFrame([rows[0], rows[0]], "doc_id long, text string, id string, at int")
     assert len({(r.n_removed, r.kept_text) for r in without_repeats(twice).collect()}) == 1
+
+
+def test_repeated_rows_keep_their_text(spark):
+    rows = [(3, " ".join(f"u{i}" for i in range(45)), "s", 1)] * 2 + [(None, " ".join(f"n{i}" for i in range(30)), "s", 1)] * 2
+    rows += [(7, rows[0][1] + " tail", "s", 1)]
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string, id string, at int").repartition(parts)
+        got = without_repeats(df).collect()
+        want = brute(rows)
+        assert want[3][1] == 0 and len(got) == len(rows)
+        assert all((r.n_words, r.n_removed, r.kept_text) == want[r.doc_id] for r in got)

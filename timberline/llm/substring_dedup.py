@@ -67,18 +67,24 @@ def anchors(words: np.ndarray, offsets: np.ndarray, min_words: int, width: int):
     return best[start[head]], place[head], start[head], start[last]
 
 
-def _earliest(key: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether a row is its key's first by (id, at)."""
+def _earliest(key: np.ndarray, ids: np.ndarray, at: np.ndarray):
+    """Whether a row is its key's first by (id, at), and whether it only equals that one."""
     order = np.lexsort((at, ids, key))
-    first = np.ones(len(key), bool)
-    first[order[1:]] = key[order[1:]] != key[order[:-1]]
-    return first
+    head = np.ones(len(key), bool)
+    head[1:] = key[order[1:]] != key[order[:-1]]
+    lead = order[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
+    first, same = np.empty(len(key), bool), np.empty(len(key), bool)
+    first[order] = head
+    same[order] = ~head & (ids[order] == ids[lead]) & (at[order] == at[lead])
+    return first, same
 
 
 def _emit(anchor, context, ids, at, spread):
     """Rows for the exchange. Of the rows of a batch with one context only the earliest
-    competes; later ones are settled here, and travel without a key, spread evenly."""
-    first = _earliest(context, ids, at)
+    competes; later ones are settled here, and travel without a key, spread evenly.
+    Rows equal to the earliest are the same place of one document, and are left to it."""
+    first, same = _earliest(context, ids, at)
+    anchor, context, ids, at, spread, first = (x[~same] for x in (anchor, context, ids, at, spread, first))
     key = pa.array(anchor.view(np.int64), mask=~first)
     value = np.where(first, context, mix(spread)).view(np.int64)
     return pa.RecordBatch.from_arrays([key, pa.array(value), pa.array(ids), pa.array(at)], ["anchor", "context", "id", "at"])
