@@ -101,20 +101,28 @@ def marginal_leaf_probability(rows: DataFrame, nodes: list[dict], hidden: set[in
     return table.select("row_id", F.col("_c.tree").alias("tree"), F.col("_c.leaf").alias("leaf"), F.col("_c.p").alias("p")).filter("p > 0")
 
 
-def components_above(sim: DataFrame, rows: DataFrame, threshold: float, rounds: int = 20) -> DataFrame:
+def components_above(sim: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """(row_id, cluster): single-linkage clusters, rows joined where similarity reaches the
-    threshold; the cluster is its smallest row id. Labels spread by minimum, with pointer
-    jumping, until they rest; each round is checkpointed."""
+    threshold; the cluster is its smallest row id. Large-star and small-star steps alternate
+    until the stars rest, so that long chains need few rounds; each step is checkpointed."""
     from ..sources.storage import checkpointed
 
-    edges = checkpointed(both_ways(sim.filter(F.col("sim") >= threshold).select("i", "j")))
-    label = checkpointed(rows.select("row_id", F.col("row_id").alias("cluster")))
-    for _ in range(rounds):
-        near = edges.join(label.select(F.col("row_id").alias("j"), "cluster"), "j").groupBy(F.col("i").alias("row_id")).agg(F.min("cluster").alias("m"))
-        low = label.join(near, "row_id", "left").select("row_id", F.least("cluster", F.coalesce("m", "cluster")).alias("c"))
-        hop = low.select(F.col("row_id").alias("c"), F.col("c").alias("top"))
-        new = checkpointed(low.join(hop, "c").select("row_id", F.col("top").alias("cluster")))
-        if not new.join(label.withColumnRenamed("cluster", "old"), "row_id").filter("cluster <> old").limit(1).count():
-            return new
-        label = new
-    return label
+    def mark(e):
+        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    pairs = sim.filter(F.col("sim") >= threshold).select(F.greatest("i", "j").alias("u"), F.least("i", "j").alias("v"))
+    e = checkpointed(pairs.filter("u <> v").distinct())
+    seen = mark(e)
+    while seen[0]:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = checkpointed(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = checkpointed(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        now = mark(e)
+        if now == seen:
+            break
+        seen = now
+    top = e.select(F.col("u").alias("row_id"), "v")
+    return rows.select("row_id").join(top, "row_id", "left").select("row_id", F.coalesce("v", "row_id").alias("cluster"))
