@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from timberline.llm._common import materialize, table
-from timberline.llm.line_dedup import without_duplicates
+from timberline.llm.line_dedup import EXACT_CHARS, without_duplicates
 from timberline.llm.mixing import mixed_documents
 from timberline.llm.near_dedup import without_near_duplicates
 from timberline.llm.packing import pack
@@ -28,8 +28,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines within one edit of an earlier line go; so do documents left without words."""
-    return without_duplicates(docs)
+    """Lines within one edit of an earlier line go, short ones if equal to it; so do
+    documents left without words."""
+    return without_duplicates(docs, exact_chars=EXACT_CHARS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

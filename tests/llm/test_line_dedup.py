@@ -76,3 +76,14 @@ def test_documents(spark):
     none = spark.createDataFrame([(None, "x" * 30, "", 1), (None, "x" * 30, "", 1), (7, "x" * 30, "", 1)], SCHEMA)
     assert [r.n_chars for r in without_duplicates(none).collect()] == [1]
     assert without_duplicates(df.limit(0)).count() == 0
+
+
+def test_short_lines_are_compared_for_equality(spark):
+    from corpus_pipeline import line_dedup
+
+    rows = [(1, "Contents\nhome\n\n" + "x" * 30, "s", 0), (2, "Contents\nhomes\n\n" + "x" * 29, "s", 0), (3, "home\nnew", "s", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(map(tuple, duplicate_lines(df, exact_chars=1).collect()))
+    assert got == [(2, 0, 1, 0, 0), (2, 3, 1, 3, 1), (3, 0, 1, 1, 0)]
+    kept = {r.doc_id: (r.text, r.n_chars) for r in line_dedup(spark, df, "").collect()}
+    assert kept == {1: (rows[0][1], 0), 2: ("homes\n", 6), 3: ("new", 3)}

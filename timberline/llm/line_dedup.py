@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ._common import fresh_name, materialize
 
-#: Shorter lines (in characters) are never compared.
+#: Shorter lines (in characters) are never compared for one edit.
 MIN_CHARS = 20
+#: Shortest lines compared for equality in the query and the pipeline.
+EXACT_CHARS = 1
 
 
 def _order(df_prefix: str = "") -> Column:
@@ -98,21 +100,23 @@ def near_links(candidates: DataFrame) -> DataFrame:
 
 
 def duplicate_lines(
-    docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact_chars: int | None = None
 ) -> DataFrame:
     """Every line that has an earlier line within one edit (an inserted, deleted or
     replaced character, or none), anywhere in the corpus.
 
     Lines are the parts of a text between line feeds, numbered from 0; those of fewer
-    than `min_chars` characters are never compared. Earlier means a smaller id, or the
-    same id and a smaller line number; null ids come last. Lines are judged on the
+    than `min_chars` characters are near no other line, and those of fewer than
+    `exact_chars` (as many by default) are not compared at all. Earlier means a smaller id,
+    or the same id and a smaller line number; null ids come last. Lines are judged on the
     input, so in a chain of lines each one edit from the next only the first stays.
     Returns id, line, of_id, of_line (the earliest such line), edits (0 or 1).
     Null texts have no lines; lines of rows that repeat one id at the same place are
     not earlier than each other; an empty table gives no rows; other columns are ignored.
     """
-    lines = split_lines(docs, min_chars, id_col, text_col)
-    candidates = materialize(near_candidates(lines), "near-lines")
+    exact_chars = min_chars if exact_chars is None else exact_chars
+    lines = split_lines(docs, min(min_chars, exact_chars), id_col, text_col)
+    candidates = materialize(near_candidates(lines.filter(F.char_length("text") >= min_chars)), "near-lines")
     near = materialize(near_links(candidates), "near-links")
     light = lines.select("a", "b", "id", "line")
     classes = light.groupBy("a", "b").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("many"))
@@ -129,7 +133,8 @@ def duplicate_lines(
 
 
 def without_duplicates(
-    docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars"
+    docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars",
+    exact_chars: int | None = None,
 ) -> DataFrame:
     """The documents without their duplicate lines, with all their columns.
 
@@ -138,10 +143,11 @@ def without_duplicates(
     is one, is counted anew for changed texts.
     """
     key, lines, left = (fresh_name(docs, n) for n in ("_gone_id", "_gone", "_left"))
-    gone = duplicate_lines(docs, min_chars, id_col, text_col)
+    exact_chars = min_chars if exact_chars is None else exact_chars
+    gone = duplicate_lines(docs, min_chars, id_col, text_col, exact_chars)
     gone = gone.groupBy(F.col(id_col).alias(key)).agg(F.collect_set("line").alias(lines))
     rows = docs.join(gone, docs[id_col].eqNullSafe(gone[key]), "left")
-    parts = F.filter(F.split(docs[text_col], "\n", -1), lambda x, i: ~F.array_contains(lines, i) | (F.char_length(x) < min_chars))
+    parts = F.filter(F.split(docs[text_col], "\n", -1), lambda x, i: ~F.array_contains(lines, i) | (F.char_length(x) < min(min_chars, exact_chars)))
     rows = rows.withColumn(left, F.when(F.col(lines).isNotNull(), F.array_join(parts, "\n")))
     rows = rows.filter(F.col(left).isNull() | F.col(left).rlike(r"[^\x20\x09-\x0D]"))
     out = []

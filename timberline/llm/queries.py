@@ -12,9 +12,9 @@ def _vocabulary(name: str) -> str:
 
 
 def op1_line_dedup(spark, sf_dir):
-    from .line_dedup import duplicate_lines
+    from .line_dedup import EXACT_CHARS, duplicate_lines
 
-    return duplicate_lines(table(spark, sf_dir, "documents"))
+    return duplicate_lines(table(spark, sf_dir, "documents"), exact_chars=EXACT_CHARS)
 
 
 def op2_best_fit_packing(spark, sf_dir):
