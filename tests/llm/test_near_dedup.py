@@ -89,7 +89,47 @@ def test_odd_sketch_estimates():
             both = int(2 * n * j / (1 + j))
             x = rng.integers(0, 1 << 63, 2 * n - both, dtype=np.uint64)
             a, b = x[:n], x[n - both :]
-            s = [np.frombuffer(hasher.sketch(hasher.signature(y)), np.uint64) for y in (a, b)]
-            found.append(estimate(np.bitwise_count(s[0] ^ s[1]).sum()))
+            s = [hasher.sketch(hasher.signature(y)) for y in (a, b)]
+            found.append(estimate(np.bitwise_count((s[0] ^ s[1]).view(np.uint64)).sum()))
         assert abs(np.mean(found) - j) < 0.02 and np.std(found) < 0.07
     assert [len(s) for s in shingle_sets(pa.array(["a b", None, "a b c d e", "A b C d a b c d"]), 4)] == [1, 0, 2, 4]
+
+
+def test_null_and_repeated_ids_keep_their_texts(spark):
+    a = " ".join(f"a{i}" for i in range(30))
+    near = a + " more"
+    z = " ".join(f"z{i}" for i in range(30))
+    for other in (None, 5):
+        rows = [(1, a, "", 0), (other, near, "", 0), (other, z, "", 0), (other, z, "", 0), (other, None, "", 0), (other, "", "", 0)]
+        kept = without_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert sorted(str(r.text) for r in kept) == sorted(["None", "", a, z, z])
+    rows = [(None, a, "", 0), (None, near, "", 1), (None, z, "", 2)]
+    texts = {r.text for r in without_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(texts) == 2 and z in texts
+
+
+def test_blocks_of_unlike_components_stream():
+    """Many rows that no sketch tells apart come out in pieces of bounded size, each pair once."""
+    from timberline.llm import near_dedup as nd
+
+    n = 3000
+    rows = {"node": np.arange(n), "comp": np.arange(n), "n": np.full(n, 50), "band": np.zeros(n, int), "main": np.zeros(n, bool),
+            "sketch": np.zeros((n, 8), np.int64), "parity": np.zeros((n, 32), np.int64), "bands": np.zeros((n, 32), np.int64)}
+    x, y = ({c: v[s] for c, v in rows.items()} for s in (slice(0, 2000), slice(2000, n)))
+    found = 0
+    for left, right in ((x, None), (y, None), (x, y)):
+        for i, j in nd.block_pairs(left, right, 80, None):
+            assert len(i) <= nd.CELLS
+            found += len(i)
+    assert found == n * (n - 1) // 2
+    assert sum(len(i) for i, j in nd.block_pairs(x, y, 80, 3)) == 3 * 2000
+
+
+def test_large_bucket_in_blocks_equals_brute_force(spark, monkeypatch):
+    from timberline.llm import near_dedup as nd
+
+    monkeypatch.setattr(nd, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(nd, "CELLS", 64)
+    rows = corpus(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows)

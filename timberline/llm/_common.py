@@ -40,6 +40,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Gives freed memory of a Python worker back, as the worker lives on for other tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def fresh_name(df: DataFrame, wish: str) -> str:
     """A column name like wish that df doesn't have (case-insensitively)."""
     have = {c.lower() for c in df.columns}
