@@ -2,7 +2,9 @@ import random
 
 import duckdb
 
-from timberline.llm.line_dedup import LINES_SQL, MIN_CHARS, duplicate_lines, without_duplicates
+import numpy as np
+
+from timberline.llm.line_dedup import LINES_SQL, MIN_CHARS, duplicate_lines, line_variants, without_duplicates
 
 
 def within_one(a, b):
@@ -17,13 +19,14 @@ def within_one(a, b):
 
 
 def brute(rows, min_chars=MIN_CHARS):
-    lines = [((i is None, i or 0, k), x) for i, t, *_ in rows for k, x in enumerate((t or "").split("\n")) if t is not None and len(x) >= min_chars]
+    """Lines of min_chars or more within one edit of an earlier one, shorter ones equal to one."""
+    lines = [((i is None, i or 0, k), x) for i, t, *_ in rows for k, x in enumerate((t or "").split("\n")) if t is not None and x]
     out = []
     for o, x in lines:
-        found = [p for p, y in lines if p < o and within_one(x, y)]
+        found = [(p, y) for p, y in lines if p < o and (x == y or min(len(x), len(y)) >= min_chars and within_one(x, y))]
         if found:
-            p = min(found)
-            out.append((None if o[0] else o[1], o[2], None if p[0] else p[1], p[2], int(all(y != x for q, y in lines if q < o) or dict(lines)[p] != x)))
+            p, y = min(found)
+            out.append((None if o[0] else o[1], o[2], None if p[0] else p[1], p[2], int(x != y)))
     return out
 
 
@@ -87,3 +90,37 @@ def test_short_lines_are_compared_for_equality(spark):
     assert got == [(2, 0, 1, 0, 0), (2, 3, 1, 3, 1), (3, 0, 1, 1, 0)]
     kept = {r.doc_id: (r.text, r.n_chars) for r in line_dedup(spark, df, "").collect()}
     assert kept == {1: (rows[0][1], 0), 2: ("homes\n", 6), 3: ("new", 3)}
+
+
+def test_variants_are_found_and_nothing_else():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abé漢😀") for _ in range(rng.randint(1, 12))) for _ in range(200)]
+    line, at, cut, whole = line_variants(texts, np.full(len(texts), 2))
+    assert len(line) == sum(map(len, texts))
+    names = {}
+    for k, i, h in zip(line.tolist(), at.tolist(), cut.tolist()):
+        text = texts[k][:i] + texts[k][i + 1 :]
+        assert names.setdefault(h, text) == text
+    assert len(names) == len(set(names.values()))
+    for text, h in zip(texts, whole.tolist()):
+        assert names.get(h, text) == text
+
+
+def test_long_lines_and_null_ids(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(120_000))
+    a, b, c = ("".join(rng.choice("abcdefgh ") for _ in range(40)) for _ in range(3))
+    rows = [(1, long, "", 0), (2, long[:70_000] + "x" + long[70_000:], "", 0), (3, "x" + long[1:], "", 0), (4, a + "\n" + b, "", 0),
+            (None, a + "\n" + c, "", 0), (None, c[:30] + "\n" + b, "", 0), (9, a, "", 0), (9, c[:30] + "z\n" + a, "", 0), (9, None, "", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(map(str, map(tuple, duplicate_lines(df).collect())))
+    assert got == sorted(map(str, brute(rows)))
+    kept = sorted(str(r.text) for r in without_duplicates(df).collect())
+    assert kept == sorted([long, a + "\n" + b, c, c[:30] + "z", "None"])
+
+
+def test_other_ids(spark):
+    x = "x" * 30
+    df = spark.createDataFrame([("b", x + "\n" + x), ("a", x + "y"), (None, x)], "doc_id string, text string")
+    got = sorted(map(str, map(tuple, duplicate_lines(df).collect())))
+    assert got == sorted(map(str, [("b", 0, "a", 0, 1), ("b", 1, "a", 0, 1), (None, 0, "a", 0, 1)]))

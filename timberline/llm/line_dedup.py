@@ -2,61 +2,219 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import fresh_name, materialize
+from ._common import fresh_name, materialize, release_memory
+from ._words import mix, slices
 
-#: Shorter lines (in characters) are never compared for one edit.
+#: Shorter lines (in characters) are compared for equality only.
 MIN_CHARS = 20
-#: Shortest lines compared for equality in the query and the pipeline.
+#: Shorter lines (in characters) are not compared at all: empty ones.
 EXACT_CHARS = 1
+#: Bytes of candidate lines whose variants are made at once.
+SLICE_BYTES = 1 << 20
 
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_LINES = 1 << 31  # more than a text can have lines
 
-def _order(df_prefix: str = "") -> Column:
-    """Place of a line in the corpus; a null id comes after all others."""
-    return F.struct(F.col("id").isNull().alias("late"), F.col("id").alias("id"), F.col("line").alias("line"))
+VARIANT_SCHEMA = "swap long, cut long, c long"
+LINE_SCHEMA = "id {id}, t1 long, line int, text string, side int"
 
 
-def split_lines(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, line, text, a, b) of every comparable line; a and b identify its content."""
-    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n", -1)).alias("line", "text"))
-    return rows.filter(F.char_length("text") >= min_chars).select(
-        "id", "line", "text", F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b")
-    )
+def _whole_number(docs: DataFrame, id_col: str) -> bool:
+    return isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+
+
+def _place(whole: bool) -> Column:
+    """Place of a line in the corpus; a null id comes after all others. Whole-number ids
+    and lines are packed into one decimal, which aggregates by hash."""
+    if not whole:
+        return F.struct(F.col("id").isNull().alias("late"), F.col("id").alias("id"), F.col("line").alias("line"))
+    late = F.lit(str(1 << 63)).cast("decimal(20,0)")
+    packed = F.coalesce(F.col("id").cast("decimal(20,0)"), late) * F.lit(_LINES).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")
+    return packed.cast("decimal(38,0)")
+
+
+def _unplaced(place: Column, whole: bool) -> tuple[Column, Column]:
+    """Id and line of a place."""
+    if not whole:
+        return place["id"], place["line"]
+    lines = F.lit(_LINES).cast("decimal(10,0)")
+    line = F.pmod(place, lines)
+    number = ((place - line) / lines).cast("decimal(20,0)")
+    return F.when(number < F.lit(str(1 << 63)).cast("decimal(20,0)"), number).cast("long"), line.cast("int")
+
+
+def _content(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text), F.xxhash64(text, F.lit(1))
 
 
 def _half_keys() -> Column:
-    """Keys that two lines within one edit must share: the first or the last half.
+    """Keys of which two lines within one edit share one: a first or a last half.
 
-    With n the shorter length, one edit leaves the first n // 2 characters alike or
-    the last n // 2; a line can't know whether it is the longer, so it gives the
-    halves for its own length and for one less.
+    Lines P c S and P d S, with c and d of one character or none, have m = |P| + |S| bytes
+    in common, so P or S has 8 * floor(m / 16) of them. A line of L bytes can't know the
+    other's m, which is between L less its widest character and L: it gives the halves of
+    both ends, which are mostly one. The lowest bit of a key tells the side.
     """
+    raw, size = F.col("text").cast("binary"), F.octet_length("text")
+    widest = F.when(size == F.char_length("text"), 1).otherwise(4)
+    long, short = (F.floor(x / 16).cast("int") * 8 for x in (size, size - widest))
+    of = lambda h: [
+        F.xxhash64(h, F.substring(raw, F.lit(1), h)).bitwiseAND(F.lit(-2).cast("long")),
+        F.xxhash64(h, F.substring(raw, size - h + 1, h)).bitwiseOR(F.lit(1).cast("long")),
+    ]
+    return F.when(long == short, F.array(*of(long))).otherwise(F.array(*of(long), *of(short)))
+
+
+def split_lines(docs: DataFrame, min_chars: int, exact_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, t1, line, a, b, halves) of every line that is compared: t1 tells the texts of
+    a repeated id apart, a and b identify the line's content, halves are for near lines."""
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t1"), F.posexplode(F.split(text_col, "\n", -1)).alias("line", "text")
+    )
     n = F.char_length("text")
-    out = []
-    for h in (F.floor(n / 2), F.floor((n - 1) / 2)):
-        h = h.cast("int")
-        out.append(F.struct(F.lit(0).alias("side"), F.xxhash64(F.lit(0), h, F.substring(F.col("text"), F.lit(1), h)).alias("half")))
-        out.append(F.struct(F.lit(1).alias("side"), F.xxhash64(F.lit(1), h, F.substring(F.col("text"), n - h + 1, h)).alias("half")))
-    return F.array_distinct(F.array(*out))
+    a, b = _content(F.col("text"))
+    return rows.filter(n >= min(min_chars, exact_chars)).select(
+        "id", "t1", "line", a.alias("a"), b.alias("b"), F.when(n >= min_chars, _half_keys()).alias("halves")
+    )
 
 
-def near_candidates(lines: DataFrame) -> DataFrame:
-    """One row (a, b, text, first, sides) per distinct line that shares a half with
-    another one; sides are the sides shared. Nothing else can be within one edit."""
-    halves = lines.select("a", "b", F.explode(_half_keys()).alias("k")).select("a", "b", "k.side", "k.half")
+def _sides(lines: DataFrame) -> DataFrame:
+    """(a, b, least, most): lines that share a half with another one, and the least and
+    the greatest side shared. Nothing else can be within one edit."""
+    unique = lines.filter("halves is not null").select("a", "b", "halves").dropDuplicates(["a", "b"])
+    halves = unique.select("a", "b", F.explode("halves").alias("half"))
     shared = (
-        halves.groupBy("side", "half")
+        halves.groupBy("half")
         .agg(F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"))
         .filter("a0 <> a1 or b0 <> b1")
-        .select("side", "half")
+        .select("half")
     )
-    sides = halves.join(shared, ["side", "half"]).groupBy("a", "b").agg(
-        F.min("side").alias("least"), F.max("side").alias("most")
-    )
-    rows = lines.join(sides, ["a", "b"])
-    return rows.groupBy("a", "b", "least", "most").agg(F.min(_order()).alias("first"), F.max("text").alias("text"))
+    side = F.col("half").bitwiseAND(F.lit(1).cast("long")).cast("int")
+    return halves.join(shared, "half").groupBy("a", "b").agg(F.min(side).alias("least"), F.max(side).alias("most"))
+
+
+def _line_batches(batches):
+    """The wanted lines of texts."""
+    for b in batches:
+        for lo, hi in slices(b.column("text")):
+            part = b.slice(lo, hi - lo)
+            out: list[tuple] = []
+            for k, (text, wanted) in enumerate(zip(part.column("text"), part.column("wanted"))):
+                lines = text.as_py().split("\n")
+                out += [(k, w["line"], lines[w["line"]], w["side"]) for w in wanted.as_py() if w["line"] < len(lines)]
+            at, line, text, side = zip(*out) if out else ((), (), (), ())
+            rows = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id").take(rows), part.column("t1").take(rows), pa.array(line, pa.int32()), pa.array(text, pa.string()),
+                 pa.array(side, pa.int32())],
+                ["id", "t1", "line", "text", "side"],
+            )
+    release_memory()
+
+
+def near_candidates(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(c, a, b, first, text, side) of each distinct line that shares a half with another
+    one. c counts in the order of the lines' first places; side is the one side shared, or 2.
+    A line's text comes from the document of its first place."""
+    whole = _whole_number(docs, id_col)
+    place = F.struct(_place(whole).alias("place"), "t1")
+    sides = _sides(lines)
+    first = lines.join(sides, ["a", "b"]).groupBy("a", "b", "least", "most").agg(F.min(place).alias("f"))
+    own, line = _unplaced(F.col("f.place"), whole)
+    side = F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(2)
+    wanted = first.select(own.alias("wid"), F.col("f.t1").alias("wt"), F.struct(line.alias("line"), side.alias("side")).alias("w"))
+    wanted = wanted.groupBy("wid", "wt").agg(F.collect_list("w").alias("wanted"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t1"), F.col(text_col).alias("text"))
+    rows = texts.join(wanted, texts["id"].eqNullSafe(wanted["wid"]) & (texts["t1"] == wanted["wt"])).select("id", "t1", "text", "wanted")
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = rows.mapInArrow(_line_batches, LINE_SCHEMA.format(id=kind))
+    a, b = _content(F.col("text"))
+    found = found.select(a.alias("a"), b.alias("b"), _place(whole).alias("first"), "text", "side").dropDuplicates(["a", "b"])
+    return materialize(found.orderBy("first").withColumn("c", F.monotonically_increasing_id()), "near-lines")
+
+
+def line_variants(texts: list[str], sides: np.ndarray):
+    """Hashes of each line without one character, and of whole lines.
+
+    Returns (line, place, cut, whole): cut is the hash of line number `line` without the
+    character at `place`, with the line's length; whole[i] is line i's hash with the
+    length of a line one character longer, so equal cut and whole differ by an insertion.
+    Sides leave out places where no near line can differ: side 0 (a shared first half) the
+    front, side 1 the rear. Work and memory grow with the characters, not with their square.
+    """
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    stop = np.cumsum(sizes)
+    start = stop - sizes
+    power, back = np.full(len(codes) + 1, _BASE, np.uint64), np.full(len(codes) + 1, _INVERSE, np.uint64)
+    power[0] = back[0] = 1
+    np.cumprod(power, out=power)
+    np.cumprod(back, out=back)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(mix(codes + np.uint64(1)) * power[:-1], out=sums[1:])
+    octets = np.zeros(len(codes) + 1, np.int64)
+    np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000), out=octets[1:])
+    octets = octets.astype(np.int64)
+    length = octets[stop] - octets[start]
+    widest = np.where(length == sizes, 1, 4)
+    half = np.maximum((length - widest) // 16 * 8, 0)
+    low = np.where(sides == 0, np.searchsorted(octets, octets[start] + half), start)
+    high = np.where(sides == 1, np.searchsorted(octets, octets[stop] - half), stop)
+    low, high = np.minimum(low, stop), np.minimum(high, stop)
+    many = np.maximum(high - low, 0)
+    line = np.repeat(np.arange(len(texts)), many)
+    at = np.arange(len(line)) - np.repeat(np.cumsum(many) - many, many) + low[line]
+    s, e = start[line], stop[line]
+    cut = ((sums[at] - sums[s]) + (sums[e] - sums[at + 1]) * np.uint64(_INVERSE)) * back[s]
+    cut = mix(cut + mix(sizes[line].astype(np.uint64)))
+    whole = mix((sums[stop] - sums[start]) * back[start] + mix((sizes + 1).astype(np.uint64)))
+    return line, at - s, cut, whole
+
+
+def _variant_batches(batches):
+    """Rows (swap, cut, c) of each variant, and (null, whole, c) of each line."""
+    for b in batches:
+        for lo, hi in slices(b.column("text"), SLICE_BYTES):
+            part = b.slice(lo, hi - lo)
+            c = np.asarray(part.column("c"))
+            line, at, cut, whole = line_variants(part.column("text").to_pylist(), np.asarray(part.column("side")))
+            swap = mix(cut ^ mix(at.astype(np.uint64) + np.uint64(1)))
+            none = np.zeros(len(line) + len(c), bool)
+            none[len(line) :] = True
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([swap, whole]).view(np.int64), mask=none), pa.array(np.concatenate([cut, whole]).view(np.int64)),
+                 pa.array(np.concatenate([c[line], c]))],
+                ["swap", "cut", "c"],
+            )
+    release_memory()
+
+
+def within_one(x: str, y: str) -> bool:
+    """Whether an edit of one character, or none, makes x of y. Takes time in proportion to
+    their length, which the engine's edit distance does not."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) - len(x) > 1:
+        return False
+    same, most = 0, len(x)  # length of the common prefix, by halving
+    while same < most:
+        half = (same + most + 1) // 2
+        if x[same:half] == y[same:half]:
+            same = half
+        else:
+            most = half - 1
+    return x[same + (len(x) == len(y)) :] == y[same + 1 :]
+
+
+def _confirmed(mine: pa.Array, theirs: pa.Array) -> pa.Array:
+    return pa.array([within_one(x.as_py(), y.as_py()) for x, y in zip(mine, theirs)], pa.bool_())
 
 
 def near_links(candidates: DataFrame) -> DataFrame:
@@ -68,87 +226,89 @@ def near_links(candidates: DataFrame) -> DataFrame:
     is all that its other holders need, so no pairs within a key are made. Each link
     found is confirmed by the edit distance of the two texts.
     """
-    n = F.char_length("text")
-    half = F.floor((n - 1) / 2).cast("int")
-    # a shared first half leaves the edit to the rest, a shared last half to the front
-    places = F.sequence(
-        F.when(F.col("least") == 0, F.when(F.col("most") == 1, 0).otherwise(half)).otherwise(0).cast("int"),
-        F.when(F.col("most") == 0, n - 1).otherwise(F.when(F.col("least") == 0, n - 1).otherwise(n - half)).cast("int"),
-    )
-    variants = candidates.select("a", "b", "first", n.alias("n"), "text", F.explode(places).alias("at")).select(
-        "a", "b", "first", "n", "at",
-        F.xxhash64(F.concat(F.substring(F.col("text"), F.lit(1), F.col("at")), F.substring(F.col("text"), F.col("at") + 2, F.col("n")))).alias("v"),
-    ).filter(F.col("at") < F.col("n"))
-    lead = variants.groupBy("v", "at", "n").agg(F.min("first").alias("other"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    swapped = variants.join(lead.drop("many"), ["v", "at", "n"]).filter("other < first").select("a", "b", "first", "other")
-    whole = candidates.select(F.xxhash64("text").alias("v"), (n + 1).alias("n"), F.col("a").alias("wa"),
-                              F.col("b").alias("wb"), F.col("first").alias("other"))
-    met = variants.select("a", "b", "first", "n", "v").join(whole, ["v", "n"])
-    longer = met.filter("other < first").select("a", "b", "first", "other")
-    shorter = (
-        met.groupBy("wa", "wb", "other").agg(F.min("first").alias("least")).filter("least < other")
-        .select(F.col("wa").alias("a"), F.col("wb").alias("b"), F.col("other").alias("first"), F.col("least").alias("other"))
-    )
+    variants = materialize(candidates.select("c", "text", "side").mapInArrow(_variant_batches, VARIANT_SCHEMA), "variants")
+    cuts, wholes = variants.filter("swap is not null"), variants.filter("swap is null")
+    lead = cuts.groupBy("swap").agg(F.min("c").alias("other"), F.max("c").alias("last")).filter("other < last").drop("last")
+    swapped = cuts.select("swap", "c").join(lead, "swap").filter("other < c").select("c", "other")
+    met = cuts.select("cut", "c").join(wholes.select("cut", F.col("c").alias("w")), "cut")
+    met = met.groupBy("w", "c").agg(F.count(F.lit(1)).alias("places")).drop("places")
+    longer = met.filter("w < c").select("c", F.col("w").alias("other"))
+    shorter = met.filter("c < w").groupBy("w").agg(F.min("c").alias("other")).withColumnRenamed("w", "c")
     links = swapped.unionByName(longer).unionByName(shorter).distinct()
-    own = candidates.select("a", "b", F.col("text").alias("mine"))
-    theirs = candidates.select(F.col("first").alias("other"), F.col("text").alias("earlier_text"))
-    return (
-        links.join(own, ["a", "b"]).join(theirs, "other")
-        .filter(F.levenshtein("mine", "earlier_text", 1).between(0, 1))
-        .groupBy("a", "b").agg(F.min("other").alias("earlier"))
+    mine = candidates.select("c", "a", "b", F.col("text").alias("mine"))
+    theirs = candidates.select(F.col("c").alias("other"), F.col("first").alias("earlier"), F.col("text").alias("theirs"))
+    near = links.join(mine, "c").join(theirs, "other").withColumn("ok", F.arrow_udf(_confirmed, "boolean")("mine", "theirs"))
+    near = near.filter("ok")
+    return near.groupBy("a", "b").agg(F.min("earlier").alias("earlier"))
+
+
+def _found(docs: DataFrame, min_chars: int, exact_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, t1, line, of, edits) of every line with an earlier one within one edit."""
+    whole = _whole_number(docs, id_col)
+    lines = materialize(split_lines(docs, min_chars, exact_chars, id_col, text_col), "lines")
+    candidates = near_candidates(docs, lines, id_col, text_col)
+    near = near_links(candidates)
+    classes = lines.groupBy("a", "b").agg(F.min(_place(whole)).alias("first"), F.count(F.lit(1)).alias("many"))
+    goal = (
+        classes.join(near, ["a", "b"], "left")
+        .filter("many > 1 or earlier is not null")
+        .select("a", "b", F.least("first", "earlier").alias("of"), (F.coalesce(F.col("earlier") < F.col("first"), F.lit(False))).cast("int").alias("edits"))
     )
+    goal = materialize(goal, "earlier-lines")
+    own = lines.select("a", "b", "id", "t1", "line").join(goal, ["a", "b"]).filter(F.col("of") < _place(whole))
+    return own.select("id", "t1", "line", "of", "edits")
 
 
 def duplicate_lines(
-    docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact_chars: int | None = None
+    docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact_chars: int = EXACT_CHARS
 ) -> DataFrame:
     """Every line that has an earlier line within one edit (an inserted, deleted or
     replaced character, or none), anywhere in the corpus.
 
     Lines are the parts of a text between line feeds, numbered from 0; those of fewer
-    than `min_chars` characters are near no other line, and those of fewer than
-    `exact_chars` (as many by default) are not compared at all. Earlier means a smaller id,
-    or the same id and a smaller line number; null ids come last. Lines are judged on the
-    input, so in a chain of lines each one edit from the next only the first stays.
+    than `min_chars` characters are compared for equality only (most short lines are one
+    edit from some other word), and those of fewer than `exact_chars` not at all: empty
+    ones. Earlier means a smaller id, or the same id and a smaller line number; null ids
+    come last. Lines are judged on the input, so in a chain of lines each one edit from
+    the next only the first stays.
     Returns id, line, of_id, of_line (the earliest such line), edits (0 or 1).
     Null texts have no lines; lines of rows that repeat one id at the same place are
     not earlier than each other; an empty table gives no rows; other columns are ignored.
     """
-    exact_chars = min_chars if exact_chars is None else exact_chars
-    lines = split_lines(docs, min(min_chars, exact_chars), id_col, text_col)
-    candidates = materialize(near_candidates(lines.filter(F.char_length("text") >= min_chars)), "near-lines")
-    near = materialize(near_links(candidates), "near-links")
-    light = lines.select("a", "b", "id", "line")
-    classes = light.groupBy("a", "b").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("many"))
-    goal = (
-        classes.join(near, ["a", "b"], "left")
-        .filter("many > 1 or earlier is not null")
-        .select("a", "b", F.least("first", "earlier").alias("of"), (F.coalesce(F.col("earlier") < F.col("first"), F.lit(False))).cast("int").alias("edits"))
-    )
-    return (
-        light.join(goal, ["a", "b"])
-        .filter(F.col("of") < _order())
-        .select(F.col("id").alias(id_col), "line", F.col("of.id").alias(f"of_{id_col}"), F.col("of.line").alias("of_line"), "edits")
-    )
+    of_id, of_line = _unplaced(F.col("of"), _whole_number(docs, id_col))
+    found = _found(docs, min_chars, exact_chars, id_col, text_col)
+    kind = docs.schema[id_col].dataType
+    return found.select(F.col("id").alias(id_col), "line", of_id.cast(kind).alias(f"of_{id_col}"), of_line.alias("of_line"), "edits")
+
+
+def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    out = []
+    for text, numbers in zip(texts, gone):
+        if not text.is_valid or not numbers.is_valid:
+            out.append(None)
+            continue
+        drop = set(numbers.as_py())
+        out.append("\n".join(x for k, x in enumerate(text.as_py().split("\n")) if k not in drop))
+    return pa.array(out, pa.string())
 
 
 def without_duplicates(
     docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars",
-    exact_chars: int | None = None,
+    exact_chars: int = EXACT_CHARS,
 ) -> DataFrame:
     """The documents without their duplicate lines, with all their columns.
 
     A text that loses all its lines of words goes with its row; texts without any
-    duplicate line stay as they are, null and empty ones too. `chars_col`, where there
-    is one, is counted anew for changed texts.
+    duplicate line stay as they are, null and empty ones too. Each text loses its own lines,
+    also where an id is null or repeated. `chars_col`, where there is one, is counted anew
+    for changed texts.
     """
-    key, lines, left = (fresh_name(docs, n) for n in ("_gone_id", "_gone", "_left"))
-    exact_chars = min_chars if exact_chars is None else exact_chars
-    gone = duplicate_lines(docs, min_chars, id_col, text_col, exact_chars)
-    gone = gone.groupBy(F.col(id_col).alias(key)).agg(F.collect_set("line").alias(lines))
-    rows = docs.join(gone, docs[id_col].eqNullSafe(gone[key]), "left")
-    parts = F.filter(F.split(docs[text_col], "\n", -1), lambda x, i: ~F.array_contains(lines, i) | (F.char_length(x) < min(min_chars, exact_chars)))
-    rows = rows.withColumn(left, F.when(F.col(lines).isNotNull(), F.array_join(parts, "\n")))
+    key, own, lines, left = (fresh_name(docs, n) for n in ("_gone_id", "_gone_text", "_gone", "_left"))
+    gone = _found(docs, min_chars, exact_chars, id_col, text_col)
+    gone = gone.groupBy(F.col("id").alias(key), F.col("t1").alias(own)).agg(F.collect_set("line").alias(lines))
+    rows = docs.join(gone, docs[id_col].eqNullSafe(gone[key]) & (F.xxhash64(docs[text_col]) == gone[own]), "left")
+    cut = F.arrow_udf(_without, "string")
+    rows = rows.withColumn(left, cut(F.when(F.col(lines).isNotNull(), docs[text_col]), F.col(lines)))
     rows = rows.filter(F.col(left).isNull() | F.col(left).rlike(r"[^\x20\x09-\x0D]"))
     out = []
     for c in docs.columns:
@@ -168,18 +328,19 @@ def without_duplicates(
 LINES_SQL = f"""
 WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents),
 lines AS (SELECT doc_id, unnest(range(len(p))) AS line, unnest(p) AS t FROM parts),
-used AS (SELECT doc_id, line, t, doc_id * 1048576 + line AS o FROM lines WHERE length(t) >= {MIN_CHARS}),
+used AS (SELECT doc_id, line, t, doc_id * 1048576 + line AS o FROM lines WHERE length(t) >= {EXACT_CHARS}),
 classes AS (SELECT t, min(o) AS o FROM used GROUP BY t),
+long AS (SELECT * FROM classes WHERE length(t) >= {MIN_CHARS}),
 variants AS (
   SELECT o, t, n, i, hash(t[1:i-1] || t[i+1:]) AS v
-  FROM (SELECT o, t, length(t) AS n, unnest(range(1, length(t) + 1)) AS i FROM classes)),
+  FROM (SELECT o, t, length(t) AS n, unnest(range(1, length(t) + 1)) AS i FROM long)),
 swaps AS (
   SELECT v.t, min(k.o) AS other FROM variants v
   JOIN (SELECT v, i, n, min(o) AS o FROM variants GROUP BY ALL HAVING count(*) > 1) k USING (v, i, n)
   WHERE k.o < v.o GROUP BY v.t),
 met AS (
   SELECT DISTINCT v.t AS t1, v.o AS o1, c.t AS t2, c.o AS o2
-  FROM variants v JOIN classes c ON v.v = hash(c.t) AND v.n = length(c.t) + 1),
+  FROM variants v JOIN long c ON v.v = hash(c.t) AND v.n = length(c.t) + 1),
 near AS (
   SELECT t, min(other) AS other FROM (
     SELECT * FROM swaps
