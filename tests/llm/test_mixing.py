@@ -58,7 +58,7 @@ def test_mix_near_targets_and_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
     sql = sorted(con.execute(MIX_SQL).fetchall(), key=str)
-    mine = mix(df).withColumn("target", F.round("target", 3))
+    mine = mix(df).withColumn("target", F.round("target", 6))
     assert sorted(map(tuple, mine.collect()), key=str) == sql
 
 
@@ -71,3 +71,24 @@ def test_documents_repeat_and_edges(spark):
     assert mix(df.limit(0)).count() == mixed_documents(df.limit(0)).count() == 0
     only = spark.createDataFrame([(1, None, "a", 0), (2, "", None, 0)], SCHEMA)
     assert [r.taken for r in mix(only).collect()] == [0, 0]
+
+
+def test_null_and_repeated_ids_have_turns_of_their_own(spark):
+    data = [(None, words(3) + f" n{i}", "a", 0) for i in range(300)] + [(7, words(5) + f" r{i}", "b", 0) for i in range(300)]
+    df = spark.createDataFrame(data, SCHEMA)
+    got = mix(df).collect()
+    size = {"a": 1200, "b": 1800}
+    for s in size:
+        assert abs(sum(r.taken for r in got if r.source == s) - got[[r.source for r in got].index(s)].target) <= 12
+    kept = mixed_documents(df).collect()
+    assert sum(len(r.text.split()) for r in kept) == sum(r.taken for r in got)
+
+
+def test_a_small_share_of_a_large_source(spark):
+    """Turns far beyond the budget are left out before they are sorted, with equal results."""
+    data = [(i, words(1 + i % 5), "z", 0) for i in range(3000)] + [(5000 + i, words(40), "a", 0) for i in range(10)]
+    df = spark.createDataFrame(data, SCHEMA)
+    got = mix(df, weights=(1000, 1), share=0.1).collect()
+    for s in "az":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 45

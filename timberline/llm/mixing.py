@@ -47,9 +47,19 @@ def source_targets(
     )
 
 
-def _range_of(key: Column) -> Column:
-    """4096 ranges of a hexadecimal key, in its order."""
-    return F.conv(F.substring(key, 1, 3), 16, 10).cast("int")
+#: Rows of a range that is sorted in one task, about.
+RANGE_ROWS = 8192
+
+
+def _range_of(key: Column, ranges: int) -> Column:
+    """Equal ranges of a hexadecimal key, in its order."""
+    return F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0) * F.lit(ranges))
+
+
+def _finish_range(finish: Column, ranges: int) -> Column:
+    """Ranges of finish times, in their order: equal ones up to 2, where nearly all turns
+    are that can be taken, and ever wider ones after that."""
+    return F.when(finish < 2, F.floor(finish * ranges)).otherwise(2 * ranges + F.floor(F.log2(finish / 2) * ranges))
 
 
 def mix(
@@ -68,67 +78,93 @@ def mix(
     `max_repeats` times. The virtual finish time of a document's turn is the source's
     words up to its end over the source's target. All turns are sorted by finish time
     and taken until the words reach the budget, the sum of targets. Finish times are
-    dealt into ranges (0 to max_repeats over the least target share), whose sums place
+    dealt into ranges, as many as the rows ask for, whose sums place
     each range before its rows are sorted: no task holds a source or the whole order.
 
     Returns id, size, source_size, target, taken (size times turns taken), source per row.
     Null text has size 0, null source is one source, the last. Documents without words
-    and sources without a target are taken no times. Null ids share one place of the
-    shuffle, repeated rows follow each other. Empty tables give no rows.
+    and sources without a target are taken no times. A null id takes its place of the
+    shuffle by its text, repeated rows follow each other. Empty tables give no rows.
     """
+    out = _mixed(docs, weights, share, max_repeats, seed, id_col, text_col, source_col)
+    return out.select(
+        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("turns")).alias("taken"), F.col("source").alias(source_col)
+    )
+
+
+def _mixed(docs, weights, share, max_repeats, seed, id_col, text_col, source_col) -> DataFrame:
+    """(id, t1, source, size, source_size, target, turns) of every row; t1 is a hash of the text."""
+    name = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")))))
     rows = materialize(
-        docs.select(
-            F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")
-        ).withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))),
+        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+        .select("id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("t1"), F.md5(F.concat(F.lit(f"{seed}:"), name)).alias("key")),
         "sizes",
     )
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = materialize(
+        rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.max("size").alias("largest"), F.count(F.lit(1)).alias("rows")), "sources"
+    )
     targets = materialize(source_targets(sizes, weights, share, max_repeats), "targets")
-    placed = running_total(rows, "size", _range_of(F.col("key")), ["key", "id", "size"], "upto", ["source"])
+    total = sizes.agg(F.sum("rows").alias("rows"), F.sum("largest").alias("slack")).first()
+    ranges = max(64, -(-(total["rows"] or 0) // RANGE_ROWS))
+    placed = running_total(rows, "size", _range_of(F.col("key"), ranges), ["key", "id", "size", "t1"], "upto", ["source"])
     t = targets.withColumnRenamed("source", "s")
     placed = materialize(
         placed.join(t, placed["source"].eqNullSafe(t["s"])).drop("s", "key"), "placed"
     )
+    # When a turn ends, every other source has had its target but for a document, or more;
+    # so a turn that ends that many words beyond its own target is beyond the budget.
+    spent = F.col("turn") * F.col("source_size") + F.col("upto")
     turns = (
         placed.filter("size > 0 and target > 0")
         .withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
-        .withColumn("finish", (F.col("turn") * F.col("source_size") + F.col("upto")) / F.col("target"))
-        .select("id", "source", "size", "finish", "turn", "upto")
+        .filter(spent <= F.col("target") + float((total["slack"] or 0) + 1))
+        .withColumn("finish", spent / F.col("target"))
+        .select("id", "t1", "source", "size", "finish", "turn", "upto")
     )
     timed = running_total(
-        turns, "size", F.least(F.floor(F.col("finish") * 4096), F.lit(1 << 20)),
-        ["finish", "source", "upto", "id", "turn"], "words",
+        turns, "size", _finish_range(F.col("finish"), ranges), ["finish", "source", "upto", "id", "turn"], "words",
     )
     budget = targets.agg(F.sum("target").alias("budget"))
     taken = (
         timed.crossJoin(F.broadcast(budget))
         .filter(F.col("words") <= F.col("budget") + 0.5)
-        .groupBy("id", "source", "size", "upto")
+        .groupBy("id", "t1", "source", "size", "upto")
         .agg(F.count(F.lit(1)).alias("turns"))
     )
     a, b = placed.alias("a"), taken.alias("b")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("id", "source", "size", "upto")]
-    return a.join(b, same[0] & same[1] & same[2] & same[3], "left").select(
-        F.col("a.id").alias(id_col), F.col("a.size").alias("size"), "a.source_size", "a.target",
-        (F.col("a.size") * F.coalesce("b.turns", F.lit(0))).alias("taken"), F.col("a.source").alias(source_col),
-    )
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("id", "t1", "source", "size", "upto")]
+    joined = a.join(b, same[0] & same[1] & same[2] & same[3] & same[4], "left")
+    return joined.select("a.id", "a.t1", "a.source", "a.size", "a.source_size", "a.target", F.coalesce("b.turns", F.lit(0)).alias("turns"))
+
 
+def mixed_documents(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    share: float = 1.0,
+    max_repeats: int = 3,
+    seed: str = "mix",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The documents of the mix, each as often as its turns, with all their columns.
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each as often as its turns, with all their columns."""
-    id_col = options.get("id_col", "doc_id")
-    plan = mix(docs, **options).filter("taken > 0")
-    key, times, turn = (fresh_name(docs, n) for n in ("_mix_id", "_turns", "_turn"))
-    turns = plan.select(F.col(id_col).alias(key), (F.col("taken") / F.col("size")).cast("int").alias(times))
-    turns = turns.groupBy(key).agg(F.max(times).alias(times))
-    joined = docs.join(turns, docs[id_col].eqNullSafe(turns[key]))
+    Texts of a null or repeated id have turns of their own; rows that repeat an id, a
+    source and a text have the mean of theirs, rounded.
+    """
+    key, own, origin, times, turn = (fresh_name(docs, n) for n in ("_mix_id", "_mix_text", "_mix_source", "_turns", "_turn"))
+    plan = _mixed(docs, weights, share, max_repeats, seed, id_col, text_col, source_col)
+    plan = plan.groupBy(F.col("id").alias(key), F.col("t1").alias(own), F.col("source").alias(origin)).agg(F.round(F.avg("turns")).cast("int").alias(times))
+    plan = plan.filter(F.col(times) > 0)
+    same = docs[id_col].eqNullSafe(plan[key]) & (F.xxhash64(docs[text_col]) == plan[own]) & docs[source_col].eqNullSafe(plan[origin])
+    joined = docs.join(plan, same)
     return joined.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[docs[c] for c in docs.columns])
 
 
 #: The same mix for DuckDB: md5 order, finish times, one global running sum.
 MIX_SQL = r"""
 WITH rows AS (
-  SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key,
+  SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))) AS key,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
   FROM documents),
 sizes AS (
@@ -163,7 +199,7 @@ timed AS (
 taken AS (
   SELECT doc_id, source, upto, count(*) AS turns FROM timed
   WHERE words <= (SELECT sum(target) FROM targets) + 0.5 GROUP BY ALL)
-SELECT p.doc_id, p.size, p.source_size, round(p.target, 3) AS target,
+SELECT p.doc_id, p.size, p.source_size, round(p.target, 6) AS target,
        CAST(p.size * coalesce(t.turns, 0) AS BIGINT) AS taken, p.source
 FROM placed p LEFT JOIN taken t ON p.doc_id IS NOT DISTINCT FROM t.doc_id
   AND p.source IS NOT DISTINCT FROM t.source AND p.upto = t.upto

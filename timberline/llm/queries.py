@@ -63,7 +63,7 @@ def op8_weighted_fair_mix(spark, sf_dir):
 
     from .mixing import mix
 
-    return mix(table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 3))
+    return mix(table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))
 
 
 def op9_suffix_array_rules(spark, sf_dir):
