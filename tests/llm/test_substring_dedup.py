@@ -75,3 +75,16 @@ def test_repeated_rows_keep_their_text(spark):
         want = brute(rows)
         assert want[3][1] == 0 and len(got) == len(rows)
         assert all((r.n_words, r.n_removed, r.kept_text) == want[r.doc_id] for r in got)
+
+
+def test_texts_of_null_or_repeated_ids_lose_only_their_own_words(spark):
+    a, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "az")
+    for other in (None, 5):
+        rows = [(1, a), (other, a), (other, z), (other, z), (other, a + " tail")]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in without_repeats(df).collect())
+        o = str(other)
+        assert got == sorted([("1", 60, 0, a), (o, 60, 60, ""), (o, 60, 0, z), (o, 60, 0, z), (o, 61, 60, "tail")])
+    df = spark.createDataFrame([(None, a), (None, a + " tail")], "doc_id long, text string")
+    left = " ".join(r.kept_text for r in without_repeats(df).collect()).split()
+    assert sorted(left) == sorted([*a.split(), "tail"])

@@ -18,8 +18,8 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LAST = (1 << 63) - 1  # stands for a null id, after all others
 
-SEED_SCHEMA = "anchor long, context long, id long, at long"
-SPAN_SCHEMA = "id long, at long, open boolean"
+SEED_SCHEMA = "anchor long, context long, id long, t1 long, at long"
+SPAN_SCHEMA = "id long, t1 long, at long, open boolean"
 
 
 class _Spans:
@@ -67,27 +67,29 @@ def anchors(words: np.ndarray, offsets: np.ndarray, min_words: int, width: int):
     return best[start[head]], place[head], start[head], start[last]
 
 
-def _earliest(key: np.ndarray, ids: np.ndarray, at: np.ndarray):
-    """Whether a row is its key's first by (id, at), and whether it only equals that one."""
-    order = np.lexsort((at, ids, key))
+def _earliest(key: np.ndarray, ids: np.ndarray, t1: np.ndarray, at: np.ndarray):
+    """Whether a row is its key's first by (id, text, at), and whether it only equals that one."""
+    order = np.lexsort((at, t1, ids, key))
     head = np.ones(len(key), bool)
     head[1:] = key[order[1:]] != key[order[:-1]]
     lead = order[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
     first, same = np.empty(len(key), bool), np.empty(len(key), bool)
     first[order] = head
-    same[order] = ~head & (ids[order] == ids[lead]) & (at[order] == at[lead])
+    same[order] = ~head & (ids[order] == ids[lead]) & (t1[order] == t1[lead]) & (at[order] == at[lead])
     return first, same
 
 
-def _emit(anchor, context, ids, at, spread):
+def _emit(anchor, context, ids, t1, at, spread):
     """Rows for the exchange. Of the rows of a batch with one context only the earliest
     competes; later ones are settled here, and travel without a key, spread evenly.
     Rows equal to the earliest are the same place of one document, and are left to it."""
-    first, same = _earliest(context, ids, at)
-    anchor, context, ids, at, spread, first = (x[~same] for x in (anchor, context, ids, at, spread, first))
+    first, same = _earliest(context, ids, t1, at)
+    anchor, context, ids, t1, at, spread, first = (x[~same] for x in (anchor, context, ids, t1, at, spread, first))
     key = pa.array(anchor.view(np.int64), mask=~first)
     value = np.where(first, context, mix(spread)).view(np.int64)
-    return pa.RecordBatch.from_arrays([key, pa.array(value), pa.array(ids), pa.array(at)], ["anchor", "context", "id", "at"])
+    return pa.RecordBatch.from_arrays(
+        [key, pa.array(value), pa.array(ids), pa.array(t1), pa.array(at)], ["anchor", "context", "id", "t1", "at"]
+    )
 
 
 def _ids(column) -> np.ndarray:
@@ -106,27 +108,27 @@ def _seed_batches(min_words: int, width: int):
                 spans = _Spans(words)
                 context = mix(spans.hash(first, last + min_words) ^ mix((place - first).astype(np.uint64)))
                 text = np.searchsorted(offsets, first, side="right") - 1
-                ids = _ids(part.column("id"))[text]
+                ids, t1 = _ids(part.column("id"))[text], np.asarray(part.column("t1"))[text]
                 # start within the text, and number of windows (at most min_words)
                 at = (first - offsets[text]) * 256 + (last - first + 1)
-                yield _emit(grams & np.uint64((1 << 48) - 1), context, ids, at, context + place.astype(np.uint64))
+                yield _emit(grams & np.uint64((1 << 48) - 1), context, ids, t1, at, context + place.astype(np.uint64))
 
     return run
 
 
 def _match_batches(batches):
-    """Over rows sorted by (anchor, context, id, at): rows after the first of their
+    """Over rows sorted by (anchor, context, id, t1, at): rows after the first of their
     context repeat earlier text (open: false). The first of a context stays open if its
     anchor has other contexts, which may agree with it in part. Streams; keeps one row."""
-    prev = None  # last row seen: anchor, context, leader's id and at, pending leader or None
+    prev = None  # last row seen: anchor, context, leader's id, text and at, pending leader or None
     for b in batches:
         done = np.asarray(b.column("anchor").is_null())
-        ids, at = np.asarray(b.column("id")), np.asarray(b.column("at"))
-        out = [(ids[done], at[done], np.zeros(int(done.sum()), bool))]
+        place = [np.asarray(b.column(c)) for c in ("id", "t1", "at")]
+        out = [(*(x[done] for x in place), np.zeros(int(done.sum()), bool))]
         live = np.flatnonzero(~done)
         if len(live):
             a = np.asarray(b.column("anchor").fill_null(0))[live]
-            c, ids, at = np.asarray(b.column("context"))[live], ids[live], at[live]
+            c, place = np.asarray(b.column("context"))[live], [x[live] for x in place]
             n = len(a)
             new_a = np.ones(n, bool)
             new_a[1:] = a[1:] != a[:-1]
@@ -136,26 +138,25 @@ def _match_batches(batches):
                 new_a[0] = a[0] != prev[0]
                 new_c[0] = new_a[0] or c[0] != prev[1]
             leader = np.maximum.accumulate(np.where(new_c, np.arange(n), -1))
-            lead_id = np.where(leader >= 0, ids[leader], prev[2] if prev else 0)
-            lead_at = np.where(leader >= 0, at[leader], prev[3] if prev else 0)
-            later = ~new_c & ((ids != lead_id) | (at != lead_at))
-            out.append((ids[later], at[later], np.zeros(int(later.sum()), bool)))
+            lead = [np.where(leader >= 0, x[leader], prev[2][k] if prev else 0) for k, x in enumerate(place)]
+            later = ~new_c & np.logical_or.reduce([x != y for x, y in zip(place, lead)])
+            out.append((*(x[later] for x in place), np.zeros(int(later.sum()), bool)))
             heads = np.flatnonzero(new_c)
-            pending = prev[4] if prev else None
+            pending = prev[3] if prev else None
             if len(heads):
                 first_of_anchor = new_a[heads]
                 joined = ~first_of_anchor  # a second or later context of its anchor
                 joined[:-1] |= ~first_of_anchor[1:]
                 if pending is not None and not first_of_anchor[0]:
-                    out.append((np.array([pending[0]]), np.array([pending[1]]), np.ones(1, bool)))
+                    out.append((*(np.array([x]) for x in pending), np.ones(1, bool)))
                 last = heads[-1]
                 held = bool(first_of_anchor[-1])
                 show = heads[joined]
-                out.append((ids[show], at[show], np.ones(len(show), bool)))
-                pending = (ids[last], at[last]) if held else None
-            prev = (a[-1], c[-1], lead_id[-1], lead_at[-1], pending)
-        i, t, o = (np.concatenate(x) for x in zip(*out))
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(t), pa.array(o)], ["id", "at", "open"])
+                out.append((*(x[show] for x in place), np.ones(len(show), bool)))
+                pending = [x[last] for x in place] if held else None
+            prev = (a[-1], c[-1], [x[-1] for x in lead], pending)
+        i, t, p, o = (np.concatenate(x) for x in zip(*out))
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(t), pa.array(p), pa.array(o)], ["id", "t1", "at", "open"])
 
 
 def _window_batches(min_words: int):
@@ -166,7 +167,7 @@ def _window_batches(min_words: int):
             for lo, hi in slices(b.column("text")):
                 part = b.slice(lo, hi - lo)
                 words, offsets = word_hashes(part.column("text"))
-                ids = _ids(part.column("id"))
+                ids, t1 = _ids(part.column("id")), np.asarray(part.column("t1"))
                 starts, owner = [], []
                 for i, ats in enumerate(part.column("ats")):
                     t = np.asarray(ats.values, dtype=np.int64)
@@ -182,7 +183,7 @@ def _window_batches(min_words: int):
                     continue
                 at = offsets[i] + s
                 key = _Spans(words).hash(at, at + min_words)
-                yield _emit(key, key, ids[i], s * 256 + 1, key + at.astype(np.uint64))
+                yield _emit(key, key, ids[i], t1[i], s * 256 + 1, key + at.astype(np.uint64))
 
     return run
 
@@ -223,7 +224,7 @@ def _keep_batches(min_words: int):
 
 def _matched(seeds: DataFrame) -> DataFrame:
     key = F.coalesce("anchor", "context")
-    return seeds.repartition(key).sortWithinPartitions("anchor", "context", "id", "at").mapInArrow(_match_batches, SPAN_SCHEMA)
+    return seeds.repartition(key).sortWithinPartitions("anchor", "context", "id", "t1", "at").mapInArrow(_match_batches, SPAN_SCHEMA)
 
 
 def without_repeats(
@@ -248,23 +249,25 @@ def without_repeats(
     Returns per row: id, n_words, n_removed, kept_text (kept words joined by a blank),
     repeats (spans of removed words, [start, stop)). Words are runs of characters other
     than ASCII white space, taken unchanged. Null and empty texts have no words; a null id
-    comes after all others; rows that repeat an id with one text are one document and are
-    not earlier than each other; an empty table gives no rows; other columns are ignored.
+    comes after all others; different texts of a null or repeated id come in the order of
+    their hashes; rows that repeat an id with one text are one document and are not
+    earlier than each other; an empty table gives no rows; other columns are ignored.
     """
-    base = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(id_col).alias("own"), F.col(text_col).alias("text")
+    texts = docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text_col).alias("t1"), F.col(text_col).alias("text")
     )
-    texts = base.select("id", "text")
     seeds = texts.mapInArrow(_seed_batches(min_words, anchor_words), SEED_SCHEMA)
     found = materialize(_matched(seeds), "repeats")
-    undecided = found.filter("open").groupBy(F.col("id").alias("at_id")).agg(F.collect_list("at").alias("ats"))
+    own = [F.col("id").alias("at_id"), F.col("t1").alias("at_t1")]
+    same = (F.col("id") == F.col("at_id")) & (F.col("t1") == F.col("at_t1"))
+    undecided = found.filter("open").groupBy(*own).agg(F.collect_list("at").alias("ats"))
     # The same exchange of texts by id serves both joins below.
-    open_texts = texts.join(undecided, F.col("id") == F.col("at_id"), "left").filter("ats is not null").select("id", "text", "ats")
+    open_texts = texts.join(undecided, same, "left").filter("ats is not null").select("id", "t1", "text", "ats")
     windows = open_texts.mapInArrow(_window_batches(min_words), SEED_SCHEMA)
-    settled = _matched(windows).filter("not open").select("id", "at")
-    spans = found.filter("not open").select("id", "at").unionByName(settled)
-    spans = spans.groupBy(F.col("id").alias("at_id")).agg(F.collect_list("at").alias("ats"))
-    rows = texts.join(spans, F.col("id") == F.col("at_id"), "left").select("id", "text", "ats")
+    settled = _matched(windows).filter("not open").select("id", "t1", "at")
+    spans = found.filter("not open").select("id", "t1", "at").unionByName(settled)
+    spans = spans.groupBy(*own).agg(F.collect_list("at").alias("ats"))
+    rows = texts.join(spans, same, "left").select("id", "text", "ats")
     out = rows.mapInArrow(
         _keep_batches(min_words),
         "id long, n_words long, n_removed long, kept_text string, repeats array<struct<start: long, stop: long>>",
