@@ -78,3 +78,26 @@ def test_edges(spark):
     odd = spark.createDataFrame([(None, [1.0], 1, ""), (3, [1.0], 1, ""), (3, [1.0], 1, ""), (4, [2.0], 1, "")], SCHEMA)
     got = sorted((str(r.vec_id), r.component_id, r.kept) for r in near_vectors(odd).collect())
     assert got == [("3", 3, True), ("3", 3, True), ("4", 3, False), ("None", None, True)]
+
+
+def test_a_block_of_near_vectors_needs_little_memory():
+    """Nodes within the threshold are linked whole, and links are counted as they come."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from timberline.llm import embedding_dedup as ed
+
+    rng = np.random.default_rng(0)
+    for spread, n in ((0.004, 4096), (0.03, 1500)):
+        x = np.eye(64)[0] + spread * rng.normal(size=(n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        block = pa.table({"id": np.arange(n), "copies": np.ones(n, np.int64), "side": np.zeros(n, int), "cross": np.zeros(n, bool),
+                          "unit": pa.array(list(x), pa.list_(pa.float64()))})
+        tracemalloc.start()
+        got = ed._task(block, 0.93).to_pandas().set_index("id")
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        want = (x @ x.T >= 0.93).sum(1) - 1
+        assert (got["n_links"].reindex(range(n)).fillna(0) == want).all()
+        assert peak < 300 << 20, (spread, peak >> 20)

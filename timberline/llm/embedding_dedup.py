@@ -18,7 +18,12 @@ MAX_PIVOTS = 256
 #: Nodes of a cover tree with so few rows are leaves.
 LEAF_ROWS = 48
 
+#: Cells or pairs of rows that are looked at at once.
+STEP = 1 << 15
+
 _SLACK = 1e-9
+#: Nodes this much nearer than the threshold link whole, whatever rounding does.
+_SURE = 1e-6
 _CHUNKS = 1 << 32  # numbers (cell, chunk) pairs
 
 TASK_SCHEMA = "id long, n_links long, other long"
@@ -89,6 +94,7 @@ class CoverTree:
         self.c_row = np.array(self.centre, np.int64)
         self.c = self.x[self.c_row]
         self.r = np.array(self.radius)
+        self.lo_, self.hi_ = np.array(self.lo), np.array(self.hi)
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -97,85 +103,114 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def dual_pairs(a: CoverTree, b: CoverTree, cosine: float, same: bool):
-    """Candidate rows of two trees (or of one with itself: `same`). Yields (rows of a, rows
-    of b, own): every row of one with every row of the other, or, where own is None, row
-    by row; own says that both are one leaf. A pair of nodes is dropped if its centres lie
-    farther apart than both radii and the threshold's distance together."""
+    """What a traversal of two trees (or of one with itself: `same`) leaves to compare.
+
+    Yields (rows of a, rows of b, kind): "rows" are compared row by row, "all" every row of
+    one with every row of the other, "own" all pairs within one leaf; "linked" are linked
+    whole, every row of one to every row of the other, and "group" all rows of one node
+    to each other. A pair of nodes is dropped if its centres lie farther apart than both
+    radii and the threshold's distance together, and linked whole if even the farthest
+    rows that they may hold are nearer than that distance.
+    """
     if not len(a.x) or not len(b.x):
         return
     a.frozen()
     b.frozen()
     reach = np.sqrt(2 - 2 * cosine) + _SLACK
+    sure = reach - _SURE
+    if same and 2 * a.r[0] <= sure:
+        if len(a.x) > 1:
+            yield a.order, a.order, "group"
+        return
     todo = [(np.array([0]), np.array([0]))]
     while todo:
         p, q = todo.pop()
-        kids_p = {int(n): a.kids[n] for n in np.unique(p)}
-        kids_q = {int(n): b.kids[n] for n in np.unique(q)}
+        if len(p) > 1024:
+            todo.append((p[1024:], q[1024:]))
+            p, q = p[:1024], q[:1024]
         for n, m in zip(p.tolist(), q.tolist()):
-            left, right = kids_p[n], kids_q[m]
+            left, right = a.kids[n], b.kids[m]
             if not left and not right:
-                yield a.order[a.lo[n] : a.hi[n]], b.order[b.lo[m] : b.hi[m]], same and n == m
+                yield a.order[a.lo[n] : a.hi[n]], b.order[b.lo[m] : b.hi[m]], "own" if same and n == m else "all"
                 continue
             left, right = np.array(left or (n,)), np.array(right or (m,))
-            step = max(1, (1 << 22) // len(right))
+            step = max(1, STEP // len(right))
             for k in range(0, len(left), step):
                 part = left[k : k + step]
-                near = _distance(a.c[part], b.c[right]) <= a.r[part][:, None] + b.r[right][None, :] + reach
+                apart = _distance(a.c[part], b.c[right])
+                radii = a.r[part][:, None] + b.r[right][None, :]
+                near = apart <= radii + reach
                 if same and n == m:
                     near &= part[:, None] <= right[None, :]
                 x, y = np.nonzero(near)
-                leaf = np.array([not a.kids[v] for v in part])[x] & np.array([not b.kids[v] for v in right])[y]
-                one = (np.array([a.hi[v] - a.lo[v] for v in part])[x] == 1) & (
-                    np.array([b.hi[v] - b.lo[v] for v in right])[y] == 1
-                )
-                both = leaf & one
-                both &= ~(same & (part[x] == right[y]))
-                if both.any():  # single rows: their centres are all there is to compare
-                    yield a.c_row[part[x[both]]], b.c_row[right[y[both]]], None
-                rest = ~both
+                i, j = part[x], right[y]
+                whole = (apart + radii)[x, y] <= sure
+                one = same & (i == j)
+                whole[one] = (2 * a.r[i[one]] <= sure) & (a.hi_[i[one]] - a.lo_[i[one]] > 1)
+                single = (a.hi_[i] - a.lo_[i] == 1) & (b.hi_[j] - b.lo_[j] == 1) & ~one
+                whole &= ~single
+                for u, v in zip(i[whole].tolist(), j[whole].tolist()):
+                    yield a.order[a.lo[u] : a.hi[u]], b.order[b.lo[v] : b.hi[v]], "group" if same and u == v else "linked"
+                if single.any():  # their centres are all there is to compare
+                    yield a.c_row[i[single]], b.c_row[j[single]], "rows"
+                rest = ~(whole | single)
                 if rest.any():
-                    todo.append((part[x[rest]], right[y[rest]]))
+                    todo.append((i[rest], j[rest]))
 
 
-def threshold_pairs(x: np.ndarray, y: np.ndarray | None, cosine: float):
-    """Index arrays (i, j) of all pairs of rows of x and y (of x alone, i < j, if y is
-    None) with cosine of at least the threshold, in double precision."""
+def threshold_links(x: np.ndarray, y: np.ndarray | None, cosine: float):
+    """All pairs of rows of x and y (of x alone if y is None) with cosine of at least the
+    threshold, in double precision. Yields (i, j, kind): "rows" are single pairs, "linked"
+    and "group" as in dual_pairs."""
     tree = CoverTree(x)
     other = tree if y is None else CoverTree(y)
     target = x if y is None else y
-    for i, j, own in dual_pairs(tree, other, cosine, y is None):
-        if own is None:
-            ok = np.einsum("ij,ij->i", x[i], target[j]) >= cosine
-            i, j = i[ok], j[ok]
-        else:
-            hit = x[i] @ target[j].T >= cosine
-            s, t = np.nonzero(np.triu(hit, 1) if own else hit)
-            i, j = i[s], j[t]
-        if len(i):
-            yield (i, j) if y is not None else (np.minimum(i, j), np.maximum(i, j))
+    for i, j, kind in dual_pairs(tree, other, cosine, y is None):
+        if kind in ("linked", "group"):
+            yield i, j, kind
+            continue
+        if kind == "rows":
+            for k in range(0, len(i), STEP):
+                u, v = i[k : k + STEP], j[k : k + STEP]
+                ok = np.einsum("ij,ij->i", x[u], target[v]) >= cosine
+                if ok.any():
+                    yield u[ok], v[ok], "rows"
+            continue
+        step = max(1, STEP // max(len(j), 1))
+        for k in range(0, len(i), step):
+            hit = x[i[k : k + step]] @ target[j].T >= cosine
+            s, t = np.nonzero(np.triu(hit, k + 1) if kind == "own" else hit)
+            if len(s):
+                yield i[k : k + step][s], j[t], "rows"
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row with a link its component's smallest id: the links' components."""
-    root = np.arange(n)
+def threshold_pairs(x: np.ndarray, y: np.ndarray | None, cosine: float):
+    """The same, as index arrays (i, j) of single pairs only (i < j if y is None)."""
+    for i, j, kind in threshold_links(x, y, cosine):
+        if kind == "linked":
+            i, j = np.repeat(i, len(j)), np.tile(j, len(i))
+        elif kind == "group":
+            s, t = np.triu_indices(len(i), 1)
+            i, j = i[s], i[t]
+        yield (i, j) if y is not None else (np.minimum(i, j), np.maximum(i, j))
+
+
+def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Component labels after the links i - j: a label is the least row of its component."""
     while True:
-        low = np.minimum(root[i], root[j])
+        a, b = root[i], root[j]
+        if (a == b).all():
+            return root
+        low = np.minimum(a, b)
         new = root.copy()
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        new = new[new]
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
         while True:
             hop = new[new]
             if (hop == new).all():
                 break
             new = hop
-        new = np.minimum(new, new[root])
-        if (new == root).all():
-            break
         root = new
-    least = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(least, root, ids)
-    return root, least[root]
 
 
 def _task(table: pa.Table, cosine: float) -> pa.Table:
@@ -187,23 +222,31 @@ def _task(table: pa.Table, cosine: float) -> pa.Table:
     flat = np.asarray(pa.chunked_array(table["unit"]).combine_chunks().flatten(), dtype=np.float64)
     x = flat.reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
     links = np.zeros(len(ids), np.int64)
-    ii, jj = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    root = np.arange(len(ids))
     home, guest = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     if len(guest):
-        found = ((home[i], guest[j]) for i, j in threshold_pairs(x[home], x[guest], cosine))
+        found = ((home[i], guest[j], k) for i, j, k in threshold_links(x[home], x[guest], cosine))
     elif np.asarray(table["cross"])[0]:
         found = ()
     else:
-        found = ((home[i], home[j]) for i, j in threshold_pairs(x[home], None, cosine))
-    for i, j in found:
-        np.add.at(links, i, copies[j])
-        np.add.at(links, j, copies[i])
-        ii.append(i)
-        jj.append(j)
-    i, j = np.concatenate(ii), np.concatenate(jj)
-    _, least = _forest(len(ids), i, j, ids)
+        found = ((home[i], home[j], k) for i, j, k in threshold_links(x[home], None, cosine))
+    for i, j, kind in found:  # links are counted and joined as they come, not kept
+        if kind == "rows":
+            np.add.at(links, i, copies[j])
+            np.add.at(links, j, copies[i])
+            root = _joined(root, i, j)
+            continue
+        if kind == "group":
+            links[i] += copies[i].sum() - copies[i]
+        else:
+            links[i] += copies[j].sum()
+            links[j] += copies[i].sum()
+        both = np.concatenate([i, j])
+        root = _joined(root, both, np.full(len(both), i[0]))
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, ids)
     on = links > 0
-    return pa.table({"id": ids[on], "n_links": links[on], "other": least[on]})
+    return pa.table({"id": ids[on], "n_links": links[on], "other": least[root][on]})
 
 
 def _unit_batches(batches):
