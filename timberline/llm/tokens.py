@@ -240,23 +240,24 @@ def token_counts(
         base.select(
             "id",
             F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+            F.xxhash64("text").alias("t1"),
             F.unhex(F.sha2(normalised(F.col("text"), tokenizer_path), 256)).alias("digest"),
         ),
         "digests",
     )
     known = _read_cache(spark, cache_path, version)
-    # One holder of each missing digest; a null id is a value like any other here.
-    wanted = rows.groupBy("digest").agg(F.min("id").alias("holder"))
+    # One holder of each missing digest: an id and its text, as ids may be null or repeated.
+    wanted = rows.groupBy("digest").agg(F.min(F.struct("id", "t1")).alias("holder"))
     if known is not None:
         wanted = wanted.join(known, "digest", "left_anti")
-    holders = base.join(wanted, base["id"].eqNullSafe(wanted["holder"])).select("digest", "text")
-    # Rows that repeat an id may bring another text than the digest's: checked here.
-    holders = holders.select("digest", F.coalesce("text", F.lit("")).alias("text")).filter(
-        F.unhex(F.sha2(normalised(F.col("text"), tokenizer_path), 256)) == F.col("digest")
-    )
+    wanted = wanted.select("digest", F.col("holder.id").alias("wid"), F.col("holder.t1").alias("wt"))
+    own = base.withColumn("t1", F.xxhash64("text"))
+    holders = own.join(wanted, own["id"].eqNullSafe(wanted["wid"]) & (own["t1"] == wanted["wt"]))
+    holders = holders.select("digest", F.coalesce("text", F.lit("")).alias("text"))
     fresh = holders.mapInArrow(_count_batches(tokenizer_path), "digest binary, n_tokens long")
     fresh.withColumn("version", F.lit(version)).write.mode("append").parquet(cache_path)
-    counts = _read_cache(spark, cache_path, version)
+    # written before it is joined, so that a common digest's rows can be split among tasks
+    counts = materialize(_read_cache(spark, cache_path, version).join(rows.select("digest").distinct(), "digest", "left_semi"), "counts")
     return (
         rows.join(counts, "digest")
         .select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
