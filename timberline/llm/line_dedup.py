@@ -124,9 +124,8 @@ def near_candidates(docs: DataFrame, lines: DataFrame, id_col: str, text_col: st
     one. c counts in the order of the lines' first places; side is the one side shared, or 2.
     A line's text comes from the document of its first place."""
     whole = _whole_number(docs, id_col)
-    place = F.struct(_place(whole).alias("place"), "t1")
-    sides = _sides(lines)
-    first = lines.join(sides, ["a", "b"]).groupBy("a", "b", "least", "most").agg(F.min(place).alias("f"))
+    # grouped before it is joined, so that a common line's rows don't meet in one task
+    first = lines.groupBy("a", "b").agg(F.min(F.struct(_place(whole).alias("place"), "t1")).alias("f")).join(_sides(lines), ["a", "b"])
     own, line = _unplaced(F.col("f.place"), whole)
     side = F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(2)
     wanted = first.select(own.alias("wid"), F.col("f.t1").alias("wt"), F.struct(line.alias("line"), side.alias("side")).alias("w"))
