@@ -176,7 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
 
     At most `max_rows` labels are taken, those whose ids have the smallest digests, so
     what reaches the driver is bounded: the sparse features of so many documents. Labels
-    that are null or contradict each other for one id are left out, as are held-out ids.
+    that are null or contradict each other for one id are left out, as are held-out ids. Of
+    the texts of a repeated id the least one counts.
     """
     spark = docs.sparkSession
     known = (
@@ -189,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
     )
     sample = spark.createDataFrame([tuple(r) for r in known.collect()], "lab_id long, quality int")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = base.join(F.broadcast(sample), base["id"] == sample["lab_id"]).select("id", "quality", "text")
+    rows = base.join(F.broadcast(sample), base["id"] == sample["lab_id"]).groupBy("id", "quality").agg(F.min("text").alias("text"))
     got = rows.mapInArrow(_feature_batches, "id long, quality int, idx array<int>, val array<float>").toArrow()
     order = np.lexsort((np.asarray(got["id"].to_numpy()),))
     flat = got.combine_chunks()
