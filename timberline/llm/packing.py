@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, release_memory
 from .tokens import encoder
 
 PIECE_SCHEMA = "id long, piece int, start long, length long, ids_crc32 long"
@@ -34,6 +34,7 @@ def _pieces_batches(path: str, capacity: int, end_id: int):
                 [pa.array(c, k) for c, k in zip(cols, kinds)],
                 ["id", "piece", "start", "length", "ids_crc32"],
             )
+        release_memory()
 
     return run
 

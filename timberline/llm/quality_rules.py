@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import release_memory
 from ._words import per_text, slices, split_words
 
 #: Characters that count as symbols.
@@ -24,6 +25,8 @@ STAT_SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
     " base_failed boolean, kept boolean, n_covered long, longest_repeat long"
 )
+#: Bytes of texts whose suffixes are sorted at once (one text at least).
+SLICE_BYTES = 1 << 20
 
 
 def suffix_repeats(codes: np.ndarray, offsets: np.ndarray, base: int = 3):
@@ -158,12 +161,13 @@ def _dup_lines(text: str) -> int:
 def _stat_batches(options: dict):
     def run(batches):
         for b in batches:
-            for lo, hi in slices(b.column("text")):
+            for lo, hi in slices(b.column("text"), SLICE_BYTES):
                 part = b.slice(lo, hi - lo)
                 stats = text_stats(part.column("text"), **options)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), *map(pa.array, stats.values())], ["id", *stats]
                 )
+        release_memory()
 
     return run
 
@@ -171,9 +175,10 @@ def _stat_batches(options: dict):
 def _filter_batches(text_col: str, options: dict):
     def run(batches):
         for b in batches:
-            for lo, hi in slices(b.column(text_col)):
+            for lo, hi in slices(b.column(text_col), SLICE_BYTES):
                 part = b.slice(lo, hi - lo)
                 yield part.filter(pa.array(text_stats(part.column(text_col), **options)["kept"]))
+        release_memory()
 
     return run
 

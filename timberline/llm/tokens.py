@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, scratch_path
+from ._common import materialize, release_memory, scratch_path
 
 #: A worker forgets its word cache beyond this many words.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def _char_class(first: str) -> str:
@@ -198,6 +198,7 @@ def _count_batches(path: str):
             yield pa.RecordBatch.from_arrays(
                 [b.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"]
             )
+        release_memory()
 
     return run
 
