@@ -144,6 +144,9 @@ def test_quantiles_warm_start_and_save(spark, tmp_path):
     more.save(str(tmp_path / "m"))
     again = E.load(spark, str(tmp_path / "m"), more)
     assert again.apply(rows).exceptAll(more.apply(rows)).count() == 0
+    alone = E.load(spark, str(tmp_path / "m"))
+    assert alone.predict(rows).exceptAll(more.predict(rows)).count() == 0 and alone.classes == more.classes
+    assert alone.oob_pairs(rows).exceptAll(more.oob_pairs(rows)).count() == 0
     from timberline.operators.routing import route_join
 
     by_join = route_join(rows.select("row_id", "features"), more.nodes, 30).select("row_id", "tree", "leaf")
@@ -191,3 +194,21 @@ def test_class_weights_and_permutation(spark):
         p = m.oob_proba(rows).filter("label = 'yes'").toPandas().set_index("row_id")["p"]
         truth = pd.Series(y)[p.index].to_numpy()
         assert abs(np.corrcoef(p, truth)[0, 1]) < 0.3
+
+
+def test_models_too_large_to_send_predict_alike(spark, monkeypatch):
+    x, y = trunk(120, 4, 6)
+    rows = frame(spark, x, y)
+    forest = E.HonestForestClassifier(n_estimators=4, max_depth=4, honest_prior="uniform", honest_method="apply", random_state=0).fit(rows)
+    alone = E.ExtendedIsolationForest(n_estimators=4, max_samples=16, random_state=0).fit(rows)
+    sent = [np.stack(forest.predict_proba(rows).toPandas().sort_values("row_id")["proba"]), alone.score_samples(rows).toPandas().sort_values("row_id")["score"]]
+    for kernel in (True, False):
+        forest.params["kernel_method"] = kernel
+        sent[0] = np.stack(forest.predict_proba(rows).toPandas().sort_values("row_id")["proba"])
+        with monkeypatch.context() as m:
+            m.setattr(E, "MAX_SENT_BYTES", 0)
+            far = forest.with_nodes(forest.nodes)
+            assert np.allclose(np.stack(far.predict_proba(rows).toPandas().sort_values("row_id")["proba"]), sent[0])
+    monkeypatch.setattr(E, "MAX_SENT_BYTES", 0)
+    alone.model._sent = None
+    assert np.allclose(alone.score_samples(rows).toPandas().sort_values("row_id")["score"], sent[1])

@@ -37,16 +37,26 @@ def content_id(*keys) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
-def poisson_count(u: Column, rate: float, most: int = 12) -> Column:
-    """Poisson quantile of a uniform draw: bootstrap multiplicities without a global
-    draw. Counts above `most` are given as `most`."""
+def poisson_steps(rate: float) -> list[float]:
+    """Distribution function of a Poisson count at 0, 1, ..., up to where no draw of 32 bits
+    lies above."""
     import math
 
-    out, total, term = F.lit(0), 0.0, math.exp(-rate)
-    for k in range(most):
-        total += term
-        out = out + F.when(u >= total, 1).otherwise(0)
-        term *= rate / (k + 1)
+    out, total, k = [], 0.0, 0
+    while True:
+        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if rate > 0 else 1.0
+        out.append(total)
+        if total >= 1 - 2.0**-33 or (k > rate and out[-1] == out[-2]):
+            return out
+        k += 1
+
+
+def poisson_count(u: Column, rate: float) -> Column:
+    """Poisson quantile of a uniform draw: bootstrap multiplicities without a global
+    draw, and without a greatest one."""
+    out = F.lit(0)
+    for step in poisson_steps(rate):
+        out = out + F.when(u >= step, 1).otherwise(0)
     return out
 
 
@@ -63,12 +73,5 @@ def normal_sql(salt: str, *keys: str) -> str:
     return f"(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {u})) * cos({2 * 3.141592653589793!r}::DOUBLE * {v}))"
 
 
-def poisson_sql(u: str, rate: float, most: int = 12) -> str:
-    import math
-
-    parts, total, term = [], 0.0, math.exp(-rate)
-    for k in range(most):
-        total += term
-        parts.append(f"CASE WHEN {u} >= {total!r}::DOUBLE THEN 1 ELSE 0 END")
-        term *= rate / (k + 1)
-    return "(" + " + ".join(parts) + ")"
+def poisson_sql(u: str, rate: float) -> str:
+    return "(" + " + ".join(f"CASE WHEN {u} >= {step!r}::DOUBLE THEN 1 ELSE 0 END" for step in poisson_steps(rate)) + ")"

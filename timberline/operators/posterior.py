@@ -51,13 +51,16 @@ def restricted(posteriors: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def quantiles(leaf: DataFrame, train_leaf: DataFrame, target: str, q: list[float]) -> DataFrame:
     """(row_id, q_0, q_1, ...): quantiles of the pooled training targets that share a leaf
-    with the row, over all trees. Training rows are first counted by (tree, leaf, target),
-    so equal targets travel once."""
+    with the row, over all trees. They depend on the row's leaves only, so they are found
+    once per combination of leaves; equal targets of a leaf travel once."""
     train = train_leaf.groupBy("tree", "leaf", F.col(target).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
-    pooled = leaf.select("row_id", "tree", "leaf").join(train, ["tree", "leaf"])
-    pooled = pooled.groupBy("row_id", "_y").agg(F.sum("_n").alias("_n"))
-    found = F.percentile("_y", F.array(*map(F.lit, q)), F.col("_n"))
-    out = pooled.groupBy("row_id").agg(found.alias("_q"))
+    vectors = leaf.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("tree", "leaf"))).alias("_v"))
+    keyed = vectors.select("row_id", F.xxhash64("_v").alias("_a"), F.xxhash64("_v", F.lit(1)).alias("_b"), "_v")
+    combined = keyed.groupBy("_a", "_b").agg(F.first("_v").alias("_v")).select("_a", "_b", F.explode("_v").alias("_c"))
+    pooled = combined.select("_a", "_b", F.col("_c.tree").alias("tree"), F.col("_c.leaf").alias("leaf")).join(train, ["tree", "leaf"])
+    pooled = pooled.groupBy("_a", "_b", "_y").agg(F.sum("_n").alias("_n"))
+    found = pooled.groupBy("_a", "_b").agg(F.percentile("_y", F.array(*map(F.lit, q)), F.col("_n")).alias("_q"))
+    out = keyed.select("row_id", "_a", "_b").join(found, ["_a", "_b"])
     return out.select("row_id", *[F.get("_q", F.lit(i)).alias(f"q_{i}") for i in range(len(q))])
 
 

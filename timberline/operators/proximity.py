@@ -33,19 +33,52 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), *[c for c in pairs.columns if c not in "ij"]))
 
 
-def k_neighbors(sim: DataFrame, k: int) -> DataFrame:
-    """(i, j, dist, rank): the k nearest other rows by 1 - similarity, ties by id. Only
-    rows that share a leaf are candidates; all others are at distance 1."""
-    d = both_ways(sim).select("i", "j", (1 - F.col("sim")).alias("dist"))
+def cross_similarity(asked: DataFrame, leaf: DataFrame, n_trees: int) -> DataFrame:
+    """(i, j, sim) of asked rows i and known rows j that share a leaf: leaf tables of both."""
+    a = asked.select(F.col("row_id").alias("i"), "tree", "leaf")
+    b = leaf.select(F.col("row_id").alias("j"), "tree", "leaf")
+    return a.join(b, ["tree", "leaf"]).groupBy("i", "j").agg((F.count(F.lit(1)) / F.lit(n_trees)).alias("sim"))
+
+
+def k_neighbors(sim: DataFrame, k: int, rows: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """(i, j, dist, rank): the k nearest other rows by 1 - similarity, ties by id.
+
+    Rows that share no leaf are at distance 1. With `rows` (row_id), a row with fewer than
+    k partners gets the smallest other ids at that distance, so that all have k where there
+    are as many rows. With `asked` (row_id), sim is of asked rows i and known rows j, whose
+    ids are unrelated; else it holds each pair once.
+    """
+    pairs = both_ways(sim) if asked is None else sim
+    d = pairs.select("i", "j", (1 - F.col("sim")).alias("dist"))
     w = Window.partitionBy("i").orderBy("dist", "j")
-    return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def radius_neighbors(sim: DataFrame, radius) -> DataFrame:
-    """(i, j, dist) within the radius: a number below 1, or a table (i, radius)."""
+    near = d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    if rows is None:
+        return near
+    known = near.groupBy("i").agg(F.collect_list("j").alias("have"))
+    every = (rows if asked is None else asked).select(F.col("row_id").alias("i"))
+    short = every.join(known, "i", "left").withColumn("have", F.coalesce("have", F.array().cast("array<long>"))).filter(F.size("have") < k)
+    # of the 2 k smallest ids at most k are the row itself or among those it has
+    least = rows.select(F.col("row_id").alias("j")).orderBy("j").limit(2 * k).agg(F.sort_array(F.collect_list("j")).alias("least"))
+    own = F.array("i") if asked is None else F.array().cast("array<long>")
+    rest = F.slice(F.array_except(F.array_except("least", "have"), own), 1, F.lit(k) - F.size("have"))
+    more = short.crossJoin(F.broadcast(least)).select("i", F.size("have").alias("n"), F.posexplode(rest).alias("at", "j"))
+    more = more.select("i", "j", F.lit(1.0).alias("dist"), (F.col("n") + F.col("at") + 1).alias("rank"))
+    return near.unionByName(more)
+
+
+def radius_neighbors(sim: DataFrame, radius, rows: DataFrame | None = None) -> DataFrame:
+    """(i, j, dist) within the radius: a number, or a table (i, radius). Rows that share no
+    leaf are at distance 1: a number of 1 or more reaches all of `rows`, so that the result
+    itself has every pair."""
     d = both_ways(sim).select("i", "j", (1 - F.col("sim")).alias("dist"))
     if isinstance(radius, DataFrame):
         return d.join(radius, "i").filter("dist <= radius").select("i", "j", "dist")
+    if radius >= 1:
+        if rows is None:
+            raise ValueError("a radius of 1 or more needs the rows: it reaches all of them")
+        ids = rows.select(F.col("row_id").alias("i"))
+        every = ids.join(ids.withColumnRenamed("i", "j"), F.col("i") != F.col("j"))
+        return every.join(d, ["i", "j"], "left").select("i", "j", F.coalesce("dist", F.lit(1.0)).alias("dist"))
     return d.filter(F.col("dist") <= radius)
 
 
@@ -126,3 +159,22 @@ def components_above(sim: DataFrame, rows: DataFrame, threshold: float) -> DataF
         seen = now
     top = e.select(F.col("u").alias("row_id"), "v")
     return rows.select("row_id").join(top, "row_id", "left").select("row_id", F.coalesce("v", "row_id").alias("cluster"))
+
+
+def components_of(sim: DataFrame, rows: DataFrame, n_clusters: int, n_trees: int) -> DataFrame:
+    """(row_id, cluster): single linkage with at most n_clusters clusters. Similarities are
+    multiples of 1 / n_trees, and pairs of one similarity merge together: of these
+    partitions it is the finest that has no more clusters; if none has so few, because
+    rows share no leaf at all, the coarsest. The level is found by halving."""
+    from ..sources.storage import checkpointed
+
+    sim = checkpointed(sim)
+    low, high, found = 1, n_trees + 1, None
+    while low <= high:
+        level = (low + high) // 2
+        labels = checkpointed(components_above(sim, rows, (level - 0.5) / n_trees))
+        if labels.select("cluster").distinct().count() <= n_clusters:
+            found, low = labels, level + 1
+        else:
+            high = level - 1
+    return found if found is not None else components_above(sim, rows, 0.5 / n_trees)

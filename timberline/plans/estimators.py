@@ -13,17 +13,18 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import uniform
 from ..functions.prefix import draw_rank
-from ..functions.special import np_average_path
+from ..functions.special import average_path, np_average_path
 from ..operators import bagging, posterior, proximity, routing
-from ..sources.storage import checkpointed, load_model, save_model
+from ..sources.storage import checkpointed, load_about, load_model, save_model
 from .grow import Grower, Tree, TreeParams, prune_empty, reachable, refill
 
 NODE_SCHEMA = (
     "tree int, node int, left int, right int, parent int, depth int, is_leaf boolean, threshold double, proj_idx array<int>,"
     " proj_w array<double>, missing_left boolean, n double, w double, impurity double, gain double, value array<double>, path array<int>"
 )
-#: Models of more nodes are routed by joins instead of being sent to every task.
-MAX_SENT_NODES = 2_000_000
+#: Models of more bytes are read by joins instead of being sent to every task; the results
+#: are the same.
+MAX_SENT_BYTES = 256 << 20
 #: Most classes of a classifier.
 MAX_CLASSES = 100_000
 
@@ -85,7 +86,8 @@ class ForestModel:
     def _trees(self):
         """Node arrays by tree for use in tasks; None if the model is too large to send."""
         if self._sent is None:
-            if self.nodes.count() > MAX_SENT_NODES:
+            held = F.lit(96) + 8 * F.coalesce(F.size("value"), F.lit(0)) + 12 * F.greatest(F.coalesce(F.size("proj_idx"), F.lit(0)), F.lit(0))
+            if (self.nodes.agg(F.sum(held)).first()[0] or 0) > MAX_SENT_BYTES:
                 return None
             cols = ["tree", "node", "left", "right", "threshold", "proj_idx", "proj_w", "depth", "n", "value"]
             self._sent = {int(t): _Flat(g) for t, g in self.nodes.select(*cols).toPandas().groupby("tree")}
@@ -126,7 +128,7 @@ class ForestModel:
         empty = self.params.get("honest_prior", "ignore")
         fill = prior if empty == "empirical" else [1.0 / k] * k if empty == "uniform" else None
         if trees is None:
-            raise NotImplementedError("use apply() and operators.posterior for models of this size")
+            return self._joined_proba(rows, kernel, fill, prior)
 
         def run(batches):
             for pdf in batches:
@@ -147,6 +149,22 @@ class ForestModel:
 
         return rows.select("row_id", "features").mapInPandas(run, "row_id long, proba array<double>")
 
+    def _joined_proba(self, rows: DataFrame, kernel: bool, fill: list | None, prior: list) -> DataFrame:
+        """predict_proba by joins, for models that aren't sent."""
+        total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+        longs = lambda v: F.array(*[F.lit(float(x)) for x in v])
+        value = self.nodes.filter("is_leaf").select("tree", F.col("node").alias("leaf"), F.col("value").alias("v"))
+        if fill is not None:
+            value = value.withColumn("v", F.when(total(F.col("v")) > 0, F.col("v")).otherwise(longs(fill)))
+        if not kernel:
+            value = value.withColumn("s", total(F.col("v")))
+            value = value.withColumn("v", F.transform("v", lambda x: F.when(F.col("s") > 0, x / F.col("s")).otherwise(0.0)))
+        parts = self.apply(rows).join(value.select("tree", "leaf", "v"), ["tree", "leaf"]).select("row_id", F.posexplode("v").alias("k", "p"))
+        parts = parts.groupBy("row_id", "k").agg(F.sum("p").alias("p"))
+        per_row = parts.groupBy("row_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "p"))), lambda x: x["p"]).alias("v"))
+        per_row = per_row.withColumn("s", total(F.col("v")))
+        return per_row.select("row_id", F.when(F.col("s") > 0, F.transform("v", lambda x: x / F.col("s"))).otherwise(longs(prior)).alias("proba"))
+
     def predict(self, rows: DataFrame) -> DataFrame:
         """(row_id, prediction): the likeliest class, or the mean of the trees' values."""
         if self.task == "class":
@@ -199,20 +217,32 @@ class ForestModel:
     def feature_importances(self) -> DataFrame:
         return posterior.feature_importance(self.nodes.filter("not is_leaf"))
 
-    def labels(self, rows: DataFrame, threshold: float = 0.5, clustering=None) -> DataFrame:
-        """Clusters of rows by forest similarity: single linkage at a threshold, or what a
-        function of (similarity pairs, rows) gives."""
+    def labels(self, rows: DataFrame, threshold: float = 0.5, clustering=None, n_clusters: int | None = None) -> DataFrame:
+        """Clusters of rows by forest similarity: single linkage at a threshold or with at
+        most n_clusters clusters, or what a function of (similarity pairs, rows) gives."""
         sim = self.similarity(rows)
-        return clustering(sim, rows) if clustering else proximity.components_above(sim, rows, threshold)
-
-    def kneighbors(self, rows: DataFrame, n_neighbors: int = 5) -> DataFrame:
-        return proximity.k_neighbors(self.similarity(rows), n_neighbors)
+        if clustering:
+            return clustering(sim, rows)
+        if n_clusters is not None:
+            return proximity.components_of(sim, rows, n_clusters, self.bag_spec["n_trees"])
+        return proximity.components_above(sim, rows, threshold)
+
+    def kneighbors(self, rows: DataFrame, n_neighbors: int = 5, asked: DataFrame | None = None) -> DataFrame:
+        """(i, j, dist, rank): the n_neighbors nearest rows to each row, or to each `asked` one."""
+        if asked is None:
+            return proximity.k_neighbors(self.similarity(rows), n_neighbors, rows)
+        sim = proximity.cross_similarity(self.apply(asked), self.apply(rows), self.bag_spec["n_trees"])
+        return proximity.k_neighbors(sim, n_neighbors, rows, asked)
 
     def radius_neighbors(self, rows: DataFrame, radius=1.0) -> DataFrame:
-        return proximity.radius_neighbors(self.similarity(rows), radius)
+        return proximity.radius_neighbors(self.similarity(rows), radius, rows)
 
     def save(self, path: str) -> None:
-        save_model(self.nodes, path)
+        """Writes all that load() needs: nodes, classes, parameters and the bags' rule."""
+        params = dict(self.params)
+        if isinstance(params.get("class_weight"), dict):
+            params["class_weight"] = {"pairs": list(params["class_weight"].items())}
+        save_model(self.nodes, path, {"task": self.task, "classes": self.classes, "params": params, "bag": self.bag_spec})
 
     def with_nodes(self, nodes: DataFrame) -> "ForestModel":
         return ForestModel(nodes, self.task, self.classes, self.params, self.bag_spec)
@@ -573,7 +603,11 @@ class IsolationModel:
 
     def score_samples(self, rows: DataFrame) -> DataFrame:
         """(row_id, score): -2^(-mean path / c(size))."""
-        trees, norm = self.model._trees(), float(np_average_path(self.size))
+        trees, norm = self.model._trees(), max(float(np_average_path(self.size)), 1e-12)
+        if trees is None:
+            length = self.model.nodes.filter("is_leaf").select("tree", F.col("node").alias("leaf"), (F.col("depth") + average_path(F.col("n"))).alias("l"))
+            mean = self.model.apply(rows).join(length, ["tree", "leaf"]).groupBy("row_id").agg(F.avg("l").alias("l"))
+            return mean.select("row_id", (-F.pow(F.lit(2.0), -F.col("l") / F.lit(norm))).alias("score"))
 
         def run(batches):
             for pdf in batches:
@@ -584,7 +618,7 @@ class IsolationModel:
                 for flat in trees.values():
                     at = flat.apply(x)
                     total += flat.depth[at] + np_average_path(flat.n[at])
-                yield pd.DataFrame({"row_id": pdf["row_id"], "score": -(2.0 ** (-total / len(trees) / max(norm, 1e-12)))})
+                yield pd.DataFrame({"row_id": pdf["row_id"], "score": -(2.0 ** (-total / len(trees) / norm))})
 
         return rows.select("row_id", "features").mapInPandas(run, "row_id long, score double")
 
@@ -607,8 +641,9 @@ class NearestNeighborsMetaEstimator:
         self.model, self.rows = self.estimator.fit(rows), rows
         return self
 
-    def kneighbors(self, n_neighbors: int | None = None) -> DataFrame:
-        return self.model.kneighbors(self.rows, n_neighbors or self.n_neighbors)
+    def kneighbors(self, asked: DataFrame | None = None, n_neighbors: int | None = None) -> DataFrame:
+        """Neighbours of the fitted rows, or of the rows asked for, among the fitted ones."""
+        return self.model.kneighbors(self.rows, n_neighbors or self.n_neighbors, asked)
 
     def radius_neighbors(self, radius=None) -> DataFrame:
         return self.model.radius_neighbors(self.rows, self.radius if radius is None else radius)
@@ -618,9 +653,16 @@ def compute_forest_similarity_matrix(model: ForestModel, rows: DataFrame) -> Dat
     return model.similarity(rows)
 
 
-def load(spark, path: str, like: ForestModel) -> ForestModel:
-    """A saved node table as a model that reads like another one."""
-    return like.with_nodes(load_model(spark, path))
+def load(spark, path: str, like: ForestModel | None = None) -> ForestModel:
+    """A saved model. With `like`, only its nodes, read like another model's."""
+    nodes = load_model(spark, path)
+    if like is not None:
+        return like.with_nodes(nodes)
+    about = load_about(spark, path)
+    weight = about["params"].get("class_weight")
+    if isinstance(weight, dict):
+        about["params"]["class_weight"] = {k: v for k, v in weight["pairs"]}
+    return ForestModel(nodes, about["task"], about["classes"], about["params"], about["bag"])
 
 
 __all__ = [n for n, v in list(globals().items()) if isinstance(v, type) and issubclass(v, (ForestEstimator, ForestModel, IsolationModel, NearestNeighborsMetaEstimator))]

@@ -155,13 +155,11 @@ def leaf_values_honest(spark, sf_dir):
 
 
 #: Honest rows of part of the feature space only, so that some leaves stay empty.
-_SPARSE_LEAF = f"sparse AS (SELECT * FROM leaf WHERE x2 <= 18 AND {uniform_sql('few', 'row_id')} < 0.2)"
+_SPARSE_LEAF = "sparse AS (SELECT * FROM leaf WHERE x2 <= 18)"
 
 
 def _sparse(leaf):
-    from ..functions.draws import uniform
-
-    return leaf.filter((F.col("x2") <= 18) & (uniform("few", "row_id") < 0.2))
+    return leaf.filter(F.col("x2") <= 18)
 
 
 @register("honest_prune_leaves", f"""
@@ -218,9 +216,9 @@ def forest_posterior_kernel(spark, sf_dir):
 
 
 @register("posterior_per_tree_oob", f"""
-WITH {MATRIX}, {LEAF}, {_BAG}, {_ROLES}, {_HONEST}, {_VALS}, {_POST}
-SELECT row_id, tree, cls, round(p, 6) AS p FROM post
-WHERE NOT EXISTS (SELECT 1 FROM bag WHERE bag.row_id = post.row_id AND bag.tree = post.tree)""")
+WITH {MATRIX.replace("m AS (", "m AS MATERIALIZED (", 1)}, {LEAF.replace("leaf AS (", "leaf AS MATERIALIZED (", 1)},
+{_BAG.replace("bag AS (", "bag AS MATERIALIZED (", 1)}, {_ROLES}, {_HONEST}, {_VALS.replace("vals AS (", "vals AS MATERIALIZED (", 1)}, {_POST}
+SELECT post.row_id, post.tree, post.cls, round(post.p, 6) AS p FROM post ANTI JOIN bag ON bag.row_id = post.row_id AND bag.tree = post.tree""")
 def posterior_per_tree_oob(spark, sf_dir):
     rows = matrix(spark, sf_dir)
     post = posterior.per_tree(leaves(rows).select("row_id", "tree", "leaf"), _values(spark, sf_dir), "cls")
@@ -241,15 +239,20 @@ def honest_decision_function(spark, sf_dir):
 
 
 @register("quantile_predict", f"""
-WITH {MATRIX}, {LEAF}, test AS (SELECT * FROM leaf WHERE {uniform_sql("ask", "row_id")} < 0.002),
-train AS (SELECT tree, leaf, x1 FROM leaf)
-SELECT t.row_id, quantile_cont(r.x1, 0.05) AS q_0, quantile_cont(r.x1, 0.5) AS q_1, quantile_cont(r.x1, 0.95) AS q_2
-FROM test t JOIN train r ON t.tree = r.tree AND t.leaf = r.leaf GROUP BY t.row_id""")
+WITH {MATRIX}, {LEAF.replace("leaf AS (", "leaf AS MATERIALIZED (", 1)},
+spots AS (
+  SELECT row_id, max(CASE WHEN tree = 0 THEN leaf END) AS a, max(CASE WHEN tree = 1 THEN leaf END) AS b, max(CASE WHEN tree = 2 THEN leaf END) AS c
+  FROM leaf GROUP BY row_id),
+combos AS (SELECT DISTINCT a, b, c FROM spots),
+pooled AS (
+  SELECT a, b, c, x1 FROM combos JOIN leaf ON tree = 0 AND leaf = a UNION ALL SELECT a, b, c, x1 FROM combos JOIN leaf ON tree = 1 AND leaf = b
+  UNION ALL SELECT a, b, c, x1 FROM combos JOIN leaf ON tree = 2 AND leaf = c),
+q AS (SELECT a, b, c, quantile_cont(x1, 0.05) AS q_0, quantile_cont(x1, 0.5) AS q_1, quantile_cont(x1, 0.95) AS q_2 FROM pooled GROUP BY a, b, c)
+SELECT row_id, q_0, q_1, q_2 FROM spots JOIN q USING (a, b, c)""")
 def quantile_predict(spark, sf_dir):
-    from ..functions.draws import uniform
-
+    """Quantiles of the training targets that share leaves, for every row."""
     leaf = leaves(matrix(spark, sf_dir))
-    return posterior.quantiles(leaf.filter(uniform("ask", "row_id") < 0.002), leaf, "x1", [0.05, 0.5, 0.95])
+    return posterior.quantiles(leaf, leaf, "x1", [0.05, 0.5, 0.95])
 
 
 @register("feature_importance", "SELECT * FROM (VALUES " + ", ".join(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,30 +32,43 @@ def long_cells(rows: DataFrame, features: str = "features") -> DataFrame:
     return rows.select("row_id", F.posexplode(features).alias("feature", "x"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. Where it is unset a new
+    one is made, but only if all runs in one process: elsewhere that is an error."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="timberline-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut at a reliable checkpoint in the cluster's folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="timberline-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def save_model(nodes: DataFrame, path: str) -> None:
-    """A model is its node table."""
-    nodes.write.mode("overwrite").parquet(path)
+def save_model(nodes: DataFrame, path: str, about: dict | None = None) -> None:
+    """A model is its node table, and what tells how to read it."""
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    spark = nodes.sparkSession
+    spark.createDataFrame([(json.dumps(about or {}),)], "about string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
 
 
 def load_model(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.parquet(f"{path}/nodes")
+
+
+def load_about(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.parquet(f"{path}/about").first()[0])
 
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder that all executors share, below the checkpoint folder."""
     import uuid
 
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="timberline-"))
-        base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/timberline-{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/timberline-{label}-{uuid.uuid4().hex}"
