@@ -56,10 +56,11 @@ def k_neighbors(sim: DataFrame, k: int, rows: DataFrame | None = None, asked: Da
         return near
     known = near.groupBy("i").agg(F.collect_list("j").alias("have"))
     every = (rows if asked is None else asked).select(F.col("row_id").alias("i"))
-    short = every.join(known, "i", "left").withColumn("have", F.coalesce("have", F.array().cast("array<long>"))).filter(F.size("have") < k)
+    none = F.array_except(F.array("i"), F.array("i"))  # empty, and of the ids' type
+    short = every.join(known, "i", "left").withColumn("have", F.coalesce("have", none)).filter(F.size("have") < k)
     # of the 2 k smallest ids at most k are the row itself or among those it has
     least = rows.select(F.col("row_id").alias("j")).orderBy("j").limit(2 * k).agg(F.sort_array(F.collect_list("j")).alias("least"))
-    own = F.array("i") if asked is None else F.array().cast("array<long>")
+    own = F.array("i") if asked is None else none
     rest = F.slice(F.array_except(F.array_except("least", "have"), own), 1, F.lit(k) - F.size("have"))
     more = short.crossJoin(F.broadcast(least)).select("i", F.size("have").alias("n"), F.posexplode(rest).alias("at", "j"))
     more = more.select("i", "j", F.lit(1.0).alias("dist"), (F.col("n") + F.col("at") + 1).alias("rank"))
