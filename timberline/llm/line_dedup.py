@@ -280,15 +280,13 @@ def duplicate_lines(
     return found.select(F.col("id").alias(id_col), "line", of_id.cast(kind).alias(f"of_{id_col}"), of_line.alias("of_line"), "edits")
 
 
-def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
-    out = []
-    for text, numbers in zip(texts, gone):
-        if not text.is_valid or not numbers.is_valid:
-            out.append(None)
-            continue
-        drop = set(numbers.as_py())
-        out.append("\n".join(x for k, x in enumerate(text.as_py().split("\n")) if k not in drop))
-    return pa.array(out, pa.string())
+def _without(text: Column, gone: Column) -> Column:
+    """The text without the lines numbered; null where either is null."""
+    lines = F.split(text, "\n", -1)
+    kept = F.transform(F.array(lines), lambda parts: F.array_join(
+        F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone), lambda k: F.get(parts, k)), "\n"
+    ))
+    return F.when(text.isNotNull() & gone.isNotNull(), F.element_at(kept, 1))
 
 
 def without_duplicates(
@@ -306,8 +304,8 @@ def without_duplicates(
     gone = _found(docs, min_chars, exact_chars, id_col, text_col)
     gone = gone.groupBy(F.col("id").alias(key), F.col("t1").alias(own)).agg(F.collect_set("line").alias(lines))
     rows = docs.join(gone, docs[id_col].eqNullSafe(gone[key]) & (F.xxhash64(docs[text_col]) == gone[own]), "left")
-    cut = F.arrow_udf(_without, "string")
-    rows = rows.withColumn(left, cut(F.when(F.col(lines).isNotNull(), docs[text_col]), F.col(lines)))
+    # exploded, so that the filter and the columns below read the text cut once
+    rows = rows.select("*", F.explode(F.array(_without(docs[text_col], F.col(lines)))).alias(left))
     rows = rows.filter(F.col(left).isNull() | F.col(left).rlike(r"[^\x20\x09-\x0D]"))
     out = []
     for c in docs.columns:
