@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.draws import poisson_sql, uniform_sql
+from ..functions.draws import poisson_sql, poisson_steps, uniform, uniform_sql
 from ..functions.special import average_path
 from ..operators import bagging, posterior, routing
+from ..sources.storage import checkpointed
 from .fixtures import FOREST, LEAF, MATRIX, N_TREES, leaves, matrix, node_table
 
 QUERIES: dict = {}
@@ -143,15 +144,20 @@ _HONEST = f"""honest AS (
   SELECT l.row_id, l.tree, l.leaf, l.cls, r.mult FROM leaf l JOIN roles r ON l.row_id = r.row_id AND l.tree = r.tree WHERE r.role = 'honest')"""
 
 
-def _honest_leaves(spark, sf_dir):
-    own = _roles(spark, sf_dir).filter("role = 'honest'").select("row_id", "tree", "mult")
-    return leaves(matrix(spark, sf_dir)).join(own, ["row_id", "tree"])
+def _bagged_leaves(spark, sf_dir):
+    leaf = leaves(matrix(spark, sf_dir)).select("row_id", "tree", "leaf", "cls")
+    return bagging.multiplicity(leaf, 1.6)
+
+
+def _honest(spark, sf_dir):
+    """The last honest row of each (tree, cls), and the class weights of honest leaves."""
+    return bagging.honest_cut(_bagged_leaves(spark, sf_dir).filter("mult > 0"), ["tree", "cls"], 0.5, "honest", ["leaf"])
 
 
 @register("leaf_values_honest", f"""
 WITH {MATRIX}, {LEAF}, {_BAG}, {_ROLES}, {_HONEST} SELECT tree, leaf, cls, CAST(sum(mult) AS DOUBLE) AS weight FROM honest GROUP BY ALL""")
 def leaf_values_honest(spark, sf_dir):
-    return routing.leaf_class_weights(_honest_leaves(spark, sf_dir), "cls", "mult")
+    return _values(spark, sf_dir)
 
 
 #: Honest rows of part of the feature space only, so that some leaves stay empty.
@@ -182,7 +188,13 @@ _VALS = f"vals AS (SELECT tree, leaf, cls, CAST(sum(mult) AS DOUBLE) AS weight F
 
 
 def _values(spark, sf_dir):
-    return routing.leaf_class_weights(_honest_leaves(spark, sf_dir), "cls", "mult")
+    return checkpointed(_honest(spark, sf_dir)[1].select("tree", "leaf", "cls", "weight"))
+
+
+def _vectors(spark, sf_dir):
+    """(row_id, cls, v): the leaves of each row as one array."""
+    rows = matrix(spark, sf_dir)
+    return rows.select("row_id", "cls", routing.leaf_vector(FOREST).alias("v"))
 
 
 @register("empty_leaf_prior", f"""
@@ -202,8 +214,8 @@ def empty_leaf_prior(spark, sf_dir):
 WITH {MATRIX}, {LEAF}, {_BAG}, {_ROLES}, {_HONEST}, {_VALS}, {_POST}
 SELECT row_id, cls, round(sum(p) / 3, 6) AS p FROM post GROUP BY ALL""")
 def forest_posterior_average(spark, sf_dir):
-    leaf = leaves(matrix(spark, sf_dir)).select("row_id", "tree", "leaf")
-    return _r(posterior.average(posterior.per_tree(leaf, _values(spark, sf_dir), "cls"), "cls"), "p")
+    values = _values(spark, sf_dir)
+    return _r(posterior.by_vector(_vectors(spark, sf_dir), lambda leaf: posterior.average(posterior.per_tree(leaf, values, "cls"), "cls")), "p")
 
 
 @register("forest_posterior_kernel", f"""
@@ -211,8 +223,8 @@ WITH {MATRIX}, {LEAF}, {_BAG}, {_ROLES}, {_HONEST}, {_VALS},
 pooled AS (SELECT l.row_id, v.cls, sum(v.weight) AS w FROM leaf l JOIN vals v ON l.tree = v.tree AND l.leaf = v.leaf GROUP BY ALL)
 SELECT row_id, cls, round(w / sum(w) OVER (PARTITION BY row_id), 6) AS p FROM pooled""")
 def forest_posterior_kernel(spark, sf_dir):
-    leaf = leaves(matrix(spark, sf_dir)).select("row_id", "tree", "leaf")
-    return _r(posterior.kernel(leaf, _values(spark, sf_dir), "cls"), "p")
+    values = _values(spark, sf_dir)
+    return _r(posterior.by_vector(_vectors(spark, sf_dir), lambda leaf: posterior.kernel(leaf, values, "cls")), "p")
 
 
 @register("posterior_per_tree_oob", f"""
@@ -220,10 +232,8 @@ WITH {MATRIX.replace("m AS (", "m AS MATERIALIZED (", 1)}, {LEAF.replace("leaf A
 {_BAG.replace("bag AS (", "bag AS MATERIALIZED (", 1)}, {_ROLES}, {_HONEST}, {_VALS.replace("vals AS (", "vals AS MATERIALIZED (", 1)}, {_POST}
 SELECT post.row_id, post.tree, post.cls, round(post.p, 6) AS p FROM post ANTI JOIN bag ON bag.row_id = post.row_id AND bag.tree = post.tree""")
 def posterior_per_tree_oob(spark, sf_dir):
-    rows = matrix(spark, sf_dir)
-    post = posterior.per_tree(leaves(rows).select("row_id", "tree", "leaf"), _values(spark, sf_dir), "cls")
-    oob = bagging.out_of_bag(rows, bagging.bootstrap(rows.select("row_id"), N_TREES, 1.6), N_TREES)
-    return _r(posterior.restricted(post, oob), "p")
+    out = _bagged_leaves(spark, sf_dir).filter("mult = 0")
+    return _r(posterior.per_tree(out, _values(spark, sf_dir), "cls"), "p")
 
 
 @register("honest_decision_function", f"""
@@ -232,10 +242,20 @@ SELECT h.row_id, p.cls, round(sum(p.p) / count(DISTINCT h.tree), 6) AS p, count(
 FROM (SELECT row_id, tree FROM honest) h JOIN post p ON h.row_id = p.row_id AND h.tree = p.tree GROUP BY ALL""")
 def honest_decision_function(spark, sf_dir):
     """Posteriors of each row over the trees that hold it as an honest row."""
-    post = posterior.per_tree(leaves(matrix(spark, sf_dir)).select("row_id", "tree", "leaf"), _values(spark, sf_dir), "cls")
-    own = posterior.restricted(post, _honest_leaves(spark, sf_dir))
-    out = own.groupBy("row_id", "cls").agg((F.sum("p") / F.count_distinct("tree")).alias("p"), F.count_distinct("tree").alias("trees"))
-    return _r(out, "p")
+    cut, values = _honest(spark, sf_dir)
+    values = checkpointed(values)
+    # a row's class has one cut per tree; its leaves in other trees than the honest ones go
+    cuts = F.broadcast(cut.filter("_cu is not null").groupBy("cls").agg(F.map_from_entries(F.collect_list(F.struct("tree", F.struct("_cu", "_cid").alias("c")))).alias("_c")))
+    rows = _vectors(spark, sf_dir).join(cuts, "cls")
+    in_bag = lambda t: uniform("bag", "row_id", t) >= poisson_steps(1.6)[0]
+    held = lambda x: F.struct(uniform("honest", "row_id", x["tree"]).alias("_cu"), F.col("row_id").alias("_cid")) <= F.try_element_at("_c", x["tree"])
+    rows = rows.withColumn("v", bagging.once(F.filter("v", lambda x: F.coalesce(in_bag(x["tree"]) & held(x), F.lit(False)))))
+
+    def find(leaf):
+        own = posterior.per_tree(leaf, values, "cls")
+        return own.groupBy("row_id", "cls").agg(F.sum("p").alias("s"), F.count_distinct("tree").alias("trees")).withColumn("p", F.col("s") / F.col("trees")).drop("s")
+
+    return _r(posterior.by_vector(rows, find).select("row_id", "cls", "p", "trees"), "p")
 
 
 @register("quantile_predict", f"""
