@@ -30,3 +30,9 @@ def test_honest_cut_is_exact(spark, n):
     assert {r["row_id"] for r in bagging.honest_partition(bag, None, 0.5, "s").filter("role = 'honest'").collect()} == want
     _, sums = bagging.honest_cut(bag, ["tree"], 0.5, "s")
     assert sum(r["weight"] for r in sums.collect()) == sum(k % 3 for k in want)
+
+
+@pytest.mark.parametrize("name", ["honest_decision_function"])
+def test_honest_posteriors_deal_no_rows_by_id(spark, name):
+    found = plan(catalog.queries()[name](spark, SF))
+    assert "hashpartitioning(row_id" not in found and "SortMergeJoin [row_id" not in found
