@@ -32,7 +32,7 @@ def test_honest_cut_is_exact(spark, n):
     assert sum(r["weight"] for r in sums.collect()) == sum(k % 3 for k in want)
 
 
-@pytest.mark.parametrize("name", ["honest_decision_function"])
+@pytest.mark.parametrize("name", ["honest_decision_function", "posterior_per_tree_oob"])
 def test_honest_posteriors_deal_no_rows_by_id(spark, name):
     found = plan(catalog.queries()[name](spark, SF))
     assert "hashpartitioning(row_id" not in found and "SortMergeJoin [row_id" not in found
