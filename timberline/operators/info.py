@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform
 from ..functions.prefix import draw_rank
 from ..functions.special import digamma
+from ..sources.storage import checkpointed
 from .metrics import average_rank
 
 
@@ -38,39 +39,116 @@ def standardize(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.drop(*[f"_{k}_{c}" for k in "ms" for c in columns])
 
 
-def _gap(cols: list[str]):
-    """Largest coordinate distance (Chebyshev) between rows i and j of a joined pair."""
-    parts = [F.abs(F.col(f"i_{c}") - F.col(f"j_{c}")) for c in cols]
-    return parts[0] if len(parts) == 1 else F.greatest(*parts)
+#: Rows of a block: two blocks meet in a worker. Work within a pair of blocks goes by tiles of TILE rows.
+BLOCK = 16384
+TILE = 256
+#: Most partitions of blocks; as many tasks as their square make the pairs.
+PARTS = 32
 
 
-def pair_table(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """All ordered pairs of different rows. Neighbour estimates are quadratic in rows by
-    definition; callers pass the sample they estimate from."""
-    a = rows.select(F.col("row_id").alias("i"), *[F.col(c).cast("double").alias(f"i_{c}") for c in columns])
-    b = rows.select(F.col("row_id").alias("j"), *[F.col(c).cast("double").alias(f"j_{c}") for c in columns])
-    return a.join(b, F.col("i") != F.col("j"))
+def _block_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(x, y, p, q): all pairs of blocks of two tables (block, p), each block packed into one
+    binary. Pairs of rows exist only within a task and are never rows of a table."""
+    return left.select(F.col("block").alias("x"), "p").join(right.select(F.col("block").alias("y"), F.col("p").alias("q")))
+
+
+def _blocks(rows: DataFrame, columns: list[str], more: list[str] | None = None) -> DataFrame:
+    """(block, p): rows packed by blocks of about BLOCK, ids first and then the columns as
+    doubles. Blocks are kept, since each is read many times."""
+    cols = [*columns, *(more or [])]
+    n = -(-max(rows.count(), 1) // BLOCK)
+    block = F.pmod(F.xxhash64("row_id"), F.lit(n)).cast("int")
+    dealt = rows.select(block.alias("block"), F.col("row_id").cast("long").alias("row_id"), *[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(cols)])
+
+    def pack(pdf):
+        import pandas as pd
+
+        data = np.stack([pdf["row_id"].to_numpy(np.int64).view(np.float64), *[pdf[f"c{k}"].to_numpy(np.float64) for k in range(len(cols))]])
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "p": [np.ascontiguousarray(data).tobytes()]})
+
+    return checkpointed(dealt.repartition(min(n, PARTS), "block").groupBy("block").applyInPandas(pack, "block int, p binary"))
+
+
+def _unpacked(p: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(p, np.float64).reshape(width + 1, -1)
+    return data[0].view(np.int64), data[1:]
+
+
+def _np_gap(a: np.ndarray, b: np.ndarray, which) -> np.ndarray:
+    """Largest coordinate distance between the rows of a and of b, over the columns `which`;
+    coordinates that one of them lacks don't count."""
+    out, most = None, np.fmax if np.isnan(a).any() or np.isnan(b).any() else np.maximum
+    for k in which:
+        d = np.abs(a[k][:, None] - b[k][None, :])
+        out = d if out is None else most(out, d, out=out)
+    return out
 
 
 def nearest(rows: DataFrame, columns: list[str], k: int) -> DataFrame:
-    """(i, j, dist, rank): the k nearest other rows by largest coordinate distance."""
-    pairs = pair_table(rows, columns).select("i", "j", _gap(columns).alias("dist"))
-    best = F.slice(F.array_sort(F.collect_list(F.struct("dist", "j"))), 1, k)
-    return pairs.groupBy("i").agg(best.alias("b")).select("i", F.posexplode("b").alias("rank", "n")).select(
-        "i", "n.j", "n.dist", (F.col("rank") + 1).alias("rank")
-    )
+    """(i, j, dist, rank): the k nearest other rows by largest coordinate distance, ties by
+    id. Quadratic in time by definition, but blocks of rows meet in workers, and only a row's
+    k nearest of each block leave them."""
+    packed = _blocks(rows, columns)
+    width = len(columns)
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for p, q in zip(pdf["p"], pdf["q"]):
+                i, a = _unpacked(p, width)
+                j, b = _unpacked(q, width)
+                order = np.argsort(j, kind="stable")  # so that ties are by id
+                j, b = j[order], b[:, order]
+                for lo in range(0, len(i), TILE):
+                    own = i[lo : lo + TILE]
+                    d = _np_gap(a[:, lo : lo + TILE], b, range(width))
+                    d[(own[:, None] == j[None, :]) | np.isnan(d)] = np.inf
+                    m = min(k, len(j))
+                    edge = np.partition(d, m - 1, axis=1)[:, m - 1]
+                    r, c = np.nonzero((d <= edge[:, None]) & (d < np.inf))
+                    dist = d[r, c]
+                    place = np.lexsort((c, dist, r))
+                    r, c, dist = r[place], c[place], dist[place]
+                    rank = np.arange(len(r)) - np.searchsorted(r, r)
+                    yield pd.DataFrame({"i": own[r[rank < k]], "j": j[c[rank < k]], "dist": dist[rank < k]})
+
+    near = _block_pairs(packed, packed).select("p", "q").mapInPandas(run, "i long, j long, dist double")
+    w = Window.partitionBy("i").orderBy("dist", "j")
+    kind = rows.schema["row_id"].dataType
+    best = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return best.select(F.col("i").cast(kind).alias("i"), F.col("j").cast(kind).alias("j"), "dist", "rank")
 
 
 def ksg_counts(rows: DataFrame, x: list[str], y: list[str], z: list[str] | None = None, k: int = 3) -> DataFrame:
-    """Per row the distance eps to its k-th neighbour in the joint space, and how many other
-    rows lie strictly nearer in each subspace."""
+    """Per row the distance eps to its k-th neighbour in the joint space (the last one where
+    there are fewer), and how many other rows lie strictly nearer in each subspace."""
     z = z or []
     cols = [*x, *y, *z]
-    pairs = pair_table(rows, cols).withColumn("d", _gap(cols))
-    eps = pairs.groupBy("i").agg(F.element_at(F.sort_array(F.slice(F.array_sort(F.collect_list("d")), 1, k)), -1).alias("eps"))
+    eps = nearest(rows, cols, k).groupBy("i").agg(F.max("dist").alias("eps")).withColumnRenamed("i", "row_id")
+    asked = _blocks(rows.select("row_id", *cols).join(eps, "row_id"), cols, ["eps"])
+    packed = _blocks(rows, cols)
+    place = {c: n for n, c in enumerate(cols)}
     spaces = {"nx": x + z, "ny": y + z, **({"nz": z} if z else {})}
-    counts = [F.sum((_gap(c) < F.col("eps")).cast("int")).alias(n) for n, c in spaces.items()]
-    return pairs.join(eps, "i").groupBy("i", "eps").agg(*counts).withColumnRenamed("i", "row_id")
+    width = len(cols)
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for p, q in zip(pdf["p"], pdf["q"]):
+                i, a = _unpacked(p, width + 1)
+                j, b = _unpacked(q, width)
+                for lo in range(0, len(i), TILE):
+                    part = a[:, lo : lo + TILE]
+                    other = i[lo : lo + TILE][:, None] != j[None, :]
+                    counts = {n: ((_np_gap(part, b, [place[v] for v in c]) < part[width][:, None]) & other).sum(1) for n, c in spaces.items()}
+                    yield pd.DataFrame({"row_id": i[lo : lo + TILE], "eps": part[width], **counts})
+
+    kinds = ", ".join(f"{n} long" for n in spaces)
+    found = _block_pairs(asked, packed).select("p", "q").mapInPandas(run, f"row_id long, eps double, {kinds}")
+    out = found.groupBy("row_id", "eps").agg(*[F.sum(n).alias(n) for n in spaces])
+    return out.withColumn("row_id", F.col("row_id").cast(rows.schema["row_id"].dataType))
 
 
 def mutual_info_ksg(rows: DataFrame, x: list[str], y: list[str], z: list[str] | None = None, k: int = 3) -> DataFrame:
