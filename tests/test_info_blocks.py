@@ -30,7 +30,7 @@ def test_nearest_and_counts_equal_brute_force(spark, monkeypatch, block):
     assert got == {i: (eps[i], near(i, [0, 2]), near(i, [1, 2]), near(i, [2])) for i in range(40)}
 
 
-@pytest.mark.parametrize("name", ["ksg_neighbor_counts", "conditional_resample"])
+@pytest.mark.parametrize("name", ["ksg_neighbor_counts", "conditional_resample", "restricted_permutation"])
 def test_no_table_of_row_pairs(spark, name):
     found = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" in found and "NOT (i#" not in found
