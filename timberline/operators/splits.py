@@ -38,9 +38,19 @@ def cut_table(
     need = _sums(c, F.col(z), label, classes, target, w)
     points = rows.groupBy(*by, z).agg(F.count(F.lit(1)).cast("double").alias("n"), *[v.alias(k) for k, v in need.items()])
     names = ["n", *need]
-    run = running_sums(points, by, z, names)
-    left = {k: F.col(f"left_{k}") for k in names}
-    right = {k: F.col(f"total_{k}") - F.col(f"left_{k}") for k in names}
+    if c.name == "fastbic":
+        # variances: sums of the own side only, of distances to the group's end on that side, so
+        # that the few values of a small side aren't lost in the rounding of large sums
+        span = points.groupBy(*by).agg(F.min(z).alias("_from"), F.max(z).alias("_to"))
+        gap = {"l": F.col(z) - F.col("_from"), "r": F.col("_to") - F.col(z)}
+        sums = [(F.col("w") * (d if k == "s" else d * d)).alias(f"{k}{side}") for side, d in gap.items() for k in "sq"]
+        points = points.join(span, by).select(*by, z, "n", "w", *sums)
+        run = running_sums(points, by, z, ["n", "w", "sl", "ql", "sr", "qr"], right=True)
+        left, right = ({k: F.col(f"{to}_{k}" if k in "nw" else f"{to}_{k}{to[0]}") for k in names} for to in ("left", "right"))
+    else:
+        run = running_sums(points, by, z, names)
+        left = {k: F.col(f"left_{k}") for k in names}
+        right = {k: F.col(f"total_{k}") - F.col(f"left_{k}") for k in names}
     after = F.col(f"next_{z}")
     middle = F.col(z) / 2 + after / 2
     use = lambda s: {k: v for k, v in s.items() if k != "n"}
