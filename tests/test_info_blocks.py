@@ -34,3 +34,31 @@ def test_nearest_and_counts_equal_brute_force(spark, monkeypatch, block):
 def test_no_table_of_row_pairs(spark, name):
     found = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" in found and "NOT (i#" not in found
+
+
+@pytest.mark.parametrize("block", [6, 1000])
+def test_nearest_of_blocks_by_place(spark, monkeypatch, block):
+    monkeypatch.setattr(info, "NEAR_BLOCK", block)
+    xyz, _ = points(spark, 60)
+    xyz[:20] = 0.3  # more equal rows than a block has
+    cells = [[None if (i, c) in {(21, 0), (22, 1), (23, 0), (23, 1)} else float(v) for c, v in enumerate(r)] for i, r in enumerate(xyz)]
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(cells)], "row_id long, a double, b double, c double")
+    both = lambda i, j: [abs(x - y) for x, y in zip(cells[i][:2], cells[j][:2]) if x is not None and y is not None]
+    want = set()
+    for i in range(60):
+        d = sorted((max(both(i, j)), j) for j in range(60) if j != i and both(i, j))
+        want |= {(i, j, gap, n + 1) for n, (gap, j) in enumerate(d[:3])}
+    assert {tuple(r) for r in info.nearest(rows, ["a", "b"], 3).select("i", "j", "dist", "rank").collect()} == want
+
+
+def test_far_blocks_do_not_meet(spark, monkeypatch):
+    """Rows on a line ask the blocks beside their own, not all of them."""
+    asked = []
+    monkeypatch.setattr(info, "NEAR_BLOCK", 50)
+    keep = info.checkpointed
+    monkeypatch.setattr(info, "checkpointed", lambda df: asked.append(keep(df)) or asked[-1])
+    rows = spark.range(1000).selectExpr("id as row_id", "double(id) as a")
+    got = info.nearest(rows, ["a"], 2)
+    assert {(r.i, r.j) for r in got.filter("i = 500").collect()} == {(500, 499), (500, 501)} and got.count() == 2000
+    blocks, first = asked
+    assert blocks.count() >= 20 and first.filter("y is not null").count() <= 3 * blocks.count()

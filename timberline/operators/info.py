@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +44,8 @@ def standardize(rows: DataFrame, columns: list[str]) -> DataFrame:
 #: Rows of a block: two blocks meet in a worker. Work within a pair of blocks goes by tiles of TILE rows.
 BLOCK = 16384
 TILE = 256
+#: Rows of a block of rows that lie together.
+NEAR_BLOCK = 4096
 #: Most partitions of blocks; as many tasks as their square make the pairs.
 PARTS = 32
 
@@ -52,21 +56,82 @@ def _block_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select(F.col("block").alias("x"), "p").join(right.select(F.col("block").alias("y"), F.col("p").alias("q")))
 
 
+def _doubles(rows: DataFrame, cols: list[str], *more) -> DataFrame:
+    return rows.select(*more, F.col("row_id").cast("long").alias("row_id"), *[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(cols)])
+
+
+def _packed(dealt: DataFrame, n: int, width: int) -> DataFrame:
+    """(block, p, lo, hi): rows packed by blocks, ids first and then the columns as doubles, and
+    the columns' ranges. Blocks are kept, since each is read many times."""
+
+    def pack(pdf):
+        import pandas as pd
+
+        cells = np.stack([pdf[f"c{k}"].to_numpy(np.float64) for k in range(width)])
+        data = np.concatenate([pdf["row_id"].to_numpy(np.int64).view(np.float64)[None], cells])
+        return pd.DataFrame({
+            "block": [pdf["block"].iloc[0]], "p": [np.ascontiguousarray(data).tobytes()], "lo": [cells.min(1)], "hi": [cells.max(1)],
+        })
+
+    kind = "block int, p binary, lo array<double>, hi array<double>"
+    return checkpointed(dealt.repartition(min(n, PARTS), "block").groupBy("block").applyInPandas(pack, kind))
+
+
 def _blocks(rows: DataFrame, columns: list[str], more: list[str] | None = None) -> DataFrame:
-    """(block, p): rows packed by blocks of about BLOCK, ids first and then the columns as
-    doubles. Blocks are kept, since each is read many times."""
+    """Blocks of about BLOCK rows, by the hash of their ids."""
     cols = [*columns, *(more or [])]
     n = -(-max(rows.count(), 1) // BLOCK)
     block = F.pmod(F.xxhash64("row_id"), F.lit(n)).cast("int")
-    dealt = rows.select(block.alias("block"), F.col("row_id").cast("long").alias("row_id"), *[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(cols)])
+    return _packed(_doubles(rows, cols, block.alias("block")), n, len(cols))
 
-    def pack(pdf):
+
+def _near_blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Blocks of at most about NEAR_BLOCK rows that lie together: slabs of the first column, cut by
+    the second one, at quantiles. Cells with more rows, of equal values, are dealt out by id, and rows
+    that lack a value are in cells of their own. Where the cuts lie is a matter of speed only."""
+    width = len(columns)
+    rows = _doubles(rows, columns)
+    n = -(-max(rows.count(), 1) // NEAR_BLOCK)
+    slabs = math.ceil(math.sqrt(n)) if width > 1 else n
+    cuts = lambda v, m: F.percentile_approx(F.when(~F.isnan(v), F.col(v)), [k / m for k in range(1, m)], 10_000)
+    first = np.array(rows.agg(cuts("c0", slabs)).first()[0] or [], float) if slabs > 1 else np.zeros(0)
+    many = -(-n // slabs)
+    second = {}
+    if many > 1:
+        slab = F.aggregate(F.array(*[F.lit(float(x)) for x in first]), F.lit(0), lambda s, x: s + (x < F.col("c0")).cast("int")) if len(first) else F.lit(0)
+        found = rows.groupBy(slab.alias("s")).agg(cuts("c1", many).alias("q")).collect()
+        second = {r["s"]: np.array(r["q"] or [], float) for r in found}
+
+    def cells(x: np.ndarray) -> np.ndarray:
+        slab = np.searchsorted(first, x[0])
+        at = slab * many
+        for s, q in second.items():
+            own = slab == s
+            at[own] += np.searchsorted(q, x[1][own])
+        lacks = np.isnan(x)
+        return np.where(lacks.any(0), (len(first) + 1) * many + (lacks * 2 ** np.arange(width)[:, None]).sum(0), at)
+
+    names = [f"c{k}" for k in range(width)]
+
+    def counted(batches):
         import pandas as pd
 
-        data = np.stack([pdf["row_id"].to_numpy(np.int64).view(np.float64), *[pdf[f"c{k}"].to_numpy(np.float64) for k in range(len(cols))]])
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "p": [np.ascontiguousarray(data).tobytes()]})
+        for pdf in batches:
+            cell, size = np.unique(cells(pdf[names].to_numpy(np.float64).T), return_counts=True)
+            yield pd.DataFrame({"cell": cell, "n": size})
+
+    sizes = rows.mapInPandas(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas()
+    cell, shares = sizes["cell"].to_numpy(np.int64), -(-sizes["n"].to_numpy(np.int64) // NEAR_BLOCK)
+    start = np.cumsum(shares) - shares
 
-    return checkpointed(dealt.repartition(min(n, PARTS), "block").groupBy("block").applyInPandas(pack, "block int, p binary"))
+    def dealt(batches):
+        for pdf in batches:
+            at = np.searchsorted(cell, cells(pdf[names].to_numpy(np.float64).T))
+            mixed = (pdf["row_id"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            yield pdf.assign(block=(start[at] + mixed.astype(np.int64) % shares[at]).astype(np.int32))
+
+    kind = "row_id long, " + ", ".join(f"{c} double" for c in names) + ", block int"
+    return _packed(rows.mapInPandas(dealt, kind), max(int(shares.sum()), 1), width)
 
 
 def _unpacked(p: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,36 +149,84 @@ def _np_gap(a: np.ndarray, b: np.ndarray, which) -> np.ndarray:
     return out
 
 
+def _knn(i: np.ndarray, a: np.ndarray, eps: np.ndarray, j: np.ndarray, b: np.ndarray, k: int):
+    """(place of the row in i, other id, distance) of the k nearest rows of (j, b) to each row of
+    (i, a) that aren't beyond its eps, nearest first and ties by id."""
+    order = np.argsort(j, kind="stable")  # so that ties are by id
+    j, b = j[order], b[:, order]
+    for lo in range(0, len(i), TILE):
+        own = i[lo : lo + TILE]
+        d = _np_gap(a[:, lo : lo + TILE], b, range(len(a)))
+        d[(own[:, None] == j[None, :]) | np.isnan(d) | (d > eps[lo : lo + TILE, None])] = np.inf
+        m = min(k, len(j))
+        edge = np.partition(d, m - 1, axis=1)[:, m - 1]
+        r, c = np.nonzero((d <= edge[:, None]) & (d < np.inf))
+        dist = d[r, c]
+        place = np.lexsort((c, dist, r))
+        r, c, dist = r[place], c[place], dist[place]
+        rank = np.arange(len(r)) - np.searchsorted(r, r)
+        yield lo + r[rank < k], j[c[rank < k]], dist[rank < k]
+
+
 def nearest(rows: DataFrame, columns: list[str], k: int) -> DataFrame:
-    """(i, j, dist, rank): the k nearest other rows by largest coordinate distance, ties by
-    id. Quadratic in time by definition, but blocks of rows meet in workers, and only a row's
-    k nearest of each block leave them."""
-    packed = _blocks(rows, columns)
+    """(i, j, dist, rank): the k nearest other rows by largest coordinate distance, ties by id.
+
+    Rows are blocked by place. A row's k nearest of its own block bound its distance, and it
+    asks only the blocks that reach into it; so exact results need few of the pairs of blocks,
+    unless values repeat very often. Only a row's k nearest of each block asked leave a worker."""
+    packed = _near_blocks(rows, columns)
     width = len(columns)
+    boxes = packed.select("block", "lo", "hi").orderBy("block").toPandas()
+    block = boxes["block"].to_numpy(np.int32)
+    low, high = (np.stack(boxes[c].to_numpy()).astype(np.float64) if len(boxes) else np.zeros((0, width)) for c in ("lo", "hi"))
 
-    def run(batches):
+    def inside(batches):
+        """Answers of a row's own block (y null), and what it asks of others."""
         import pandas as pd
 
         for pdf in batches:
-            for p, q in zip(pdf["p"], pdf["q"]):
+            for x, p in zip(pdf["block"], pdf["p"]):
                 i, a = _unpacked(p, width)
-                j, b = _unpacked(q, width)
-                order = np.argsort(j, kind="stable")  # so that ties are by id
-                j, b = j[order], b[:, order]
-                for lo in range(0, len(i), TILE):
-                    own = i[lo : lo + TILE]
-                    d = _np_gap(a[:, lo : lo + TILE], b, range(width))
-                    d[(own[:, None] == j[None, :]) | np.isnan(d)] = np.inf
-                    m = min(k, len(j))
-                    edge = np.partition(d, m - 1, axis=1)[:, m - 1]
-                    r, c = np.nonzero((d <= edge[:, None]) & (d < np.inf))
-                    dist = d[r, c]
-                    place = np.lexsort((c, dist, r))
-                    r, c, dist = r[place], c[place], dist[place]
-                    rank = np.arange(len(r)) - np.searchsorted(r, r)
-                    yield pd.DataFrame({"i": own[r[rank < k]], "j": j[c[rank < k]], "dist": dist[rank < k]})
-
-    near = _block_pairs(packed, packed).select("p", "q").mapInPandas(run, "i long, j long, dist double")
+                parts = list(_knn(i, a, np.full(len(i), np.inf), i, a, k))
+                r, j, dist = (np.concatenate(v) for v in zip(*parts))
+                found = np.bincount(r, minlength=len(i))
+                eps = np.full(len(i), np.inf)
+                last = np.cumsum(found)[found == k] - 1
+                eps[found == k] = dist[last]
+                answers = np.stack([i[r].view(np.float64), j.view(np.float64), dist])
+                asked, packs = [None], [answers.tobytes()]
+                for y, lo, hi in zip(block, low, high):
+                    if y == x:
+                        continue
+                    gap = np.maximum(lo[:, None] - a, a - hi[:, None])
+                    own = ~(np.where(np.isnan(gap), 0.0, gap).max(0) > eps)  # a lacking value bounds nothing
+                    if own.any():
+                        asked.append(y)
+                        packs.append(np.concatenate([i[own].view(np.float64)[None], a[:, own], eps[own][None]]).tobytes())
+                yield pd.DataFrame({"y": pd.array(asked, "Int32"), "q": packs})
+
+    def unpack(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for q in pdf["q"]:
+                i, j, dist = np.frombuffer(q, np.float64).reshape(3, -1)
+                yield pd.DataFrame({"i": i.view(np.int64), "j": j.view(np.int64), "dist": dist})
+
+    def across(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for q, p in zip(pdf["q"], pdf["p"]):
+                i, a = _unpacked(q, width + 1)
+                for r, j, dist in _knn(i, a[:width], a[width], *_unpacked(p, width), k):
+                    yield pd.DataFrame({"i": i[r], "j": j, "dist": dist})
+
+    first = checkpointed(packed.select("block", "p").mapInPandas(inside, "y int, q binary"))
+    kind = "i long, j long, dist double"
+    own = first.filter("y is null").select("q").mapInPandas(unpack, kind)
+    asked = first.filter("y is not null").join(packed.select(F.col("block").alias("y"), "p"), "y").select("q", "p")
+    near = own.unionByName(asked.mapInPandas(across, kind))
     w = Window.partitionBy("i").orderBy("dist", "j")
     kind = rows.schema["row_id"].dataType
     best = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
