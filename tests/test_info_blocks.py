@@ -62,3 +62,10 @@ def test_far_blocks_do_not_meet(spark, monkeypatch):
     assert {(r.i, r.j) for r in got.filter("i = 500").collect()} == {(500, 499), (500, 501)} and got.count() == 2000
     blocks, first = asked
     assert blocks.count() >= 20 and first.filter("y is not null").count() <= 3 * blocks.count()
+
+
+def test_permutation_takes_its_columns_only(spark):
+    near = spark.createDataFrame([(i, (i + k) % 9, k) for i in range(9) for k in (1, 2)], "i long, j long, rank int")
+    want = {tuple(r) for r in info.restricted_permutation(near).collect()}
+    more = near.selectExpr("*", "make_interval(1) as dist")  # has no form in workers
+    assert {tuple(r) for r in info.restricted_permutation(more).collect()} == want and len(want) == 9

@@ -303,18 +303,21 @@ def restricted_permutation(neighbors: DataFrame, seed: int = 0) -> DataFrame:
         neighbors = neighbors.withColumn("group", F.lit(0))
 
     def visit(pdf: pd.DataFrame) -> pd.DataFrame:
-        lists = {i: g.sort_values("rank")["j"].tolist() for i, g in pdf.groupby("i")}
-        ids = np.array(sorted(lists))
-        np.random.default_rng([seed, len(ids)]).shuffle(ids)
+        order = np.lexsort((pdf["rank"], pdf["i"]))
+        own, near = pdf["i"].to_numpy()[order], pdf["j"].to_numpy()[order].tolist()
+        ids, start = np.unique(own, return_index=True)
+        stop = np.append(start[1:], len(own))
+        turn = np.arange(len(ids))
+        np.random.default_rng([seed, len(ids)]).shuffle(turn)
         used: set = set()
-        out = []
-        for i in ids.tolist():
-            pick = next((j for j in lists[i] if j not in used), lists[i][-1])
+        picked = []
+        for lo, hi in zip(start[turn].tolist(), stop[turn].tolist()):
+            pick = next((j for j in near[lo:hi] if j not in used), near[hi - 1])
             used.add(pick)
-            out.append((i, pick))
-        return pd.DataFrame(out, columns=["row_id", "picked"])
+            picked.append(pick)
+        return pd.DataFrame({"row_id": ids[turn], "picked": picked})
 
-    return neighbors.groupBy("group").applyInPandas(visit, "row_id long, picked long")
+    return neighbors.select("group", "i", "j", "rank").groupBy("group").applyInPandas(visit, "row_id long, picked long")
 
 
 def grid_mutual_information(spark, means, covs, weights, span: float = 10.0, cells: int = 200) -> DataFrame:
