@@ -4,6 +4,7 @@ import duckdb
 
 import numpy as np
 
+from timberline.llm import line_dedup
 from timberline.llm.line_dedup import LINES_SQL, MIN_CHARS, duplicate_lines, line_variants, without_duplicates
 
 
@@ -124,3 +125,13 @@ def test_other_ids(spark):
     df = spark.createDataFrame([("b", x + "\n" + x), ("a", x + "y"), (None, x)], "doc_id string, text string")
     got = sorted(map(str, map(tuple, duplicate_lines(df).collect())))
     assert got == sorted(map(str, [("b", 0, "a", 0, 1), ("b", 1, "a", 0, 1), (None, 0, "a", 0, 1)]))
+
+
+def test_variants_are_dealt_out_by_key_once(spark):
+    docs = spark.createDataFrame([(i, f"a line of words that is long enough, number {i}") for i in range(30)], "doc_id long, text string")
+    lines = line_dedup.split_lines(docs, line_dedup.MIN_CHARS, line_dedup.EXACT_CHARS, "doc_id", "text")
+    links = line_dedup.near_links(line_dedup.near_candidates(docs, lines, "doc_id", "text"))
+    links.collect()
+    plan = links._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(swap" in x and "Reused" not in x]
+    assert len(dealt) == 1 and "ReusedExchange" in plan

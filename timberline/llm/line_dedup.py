@@ -227,8 +227,10 @@ def near_links(candidates: DataFrame) -> DataFrame:
     """
     variants = materialize(candidates.select("c", "text", "side").mapInArrow(_variant_batches, VARIANT_SCHEMA), "variants")
     cuts, wholes = variants.filter("swap is not null"), variants.filter("swap is null")
-    lead = cuts.groupBy("swap").agg(F.min("c").alias("other"), F.max("c").alias("last")).filter("other < last").drop("last")
-    swapped = cuts.select("swap", "c").join(lead, "swap").filter("other < c").select("c", "other")
+    # dealt out by key once, for the earliest holders and for those that join them
+    held = cuts.select("swap", "c").filter("c is not null").repartition("swap")  # the join's filter, so that both read one exchange
+    lead = held.groupBy("swap").agg(F.min("c").alias("other"), F.max("c").alias("last")).filter("other < last").drop("last")
+    swapped = held.join(lead, "swap").filter("other < c").select("c", "other")
     met = cuts.select("cut", "c").join(wholes.select("cut", F.col("c").alias("w")), "cut")
     met = met.groupBy("w", "c").agg(F.count(F.lit(1)).alias("places")).drop("places")
     longer = met.filter("w < c").select("c", F.col("w").alias("other"))
