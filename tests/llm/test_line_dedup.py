@@ -135,3 +135,12 @@ def test_variants_are_dealt_out_by_key_once(spark):
     plan = links._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(swap" in x and "Reused" not in x]
     assert len(dealt) == 1 and "ReusedExchange" in plan
+
+
+def test_variants_are_not_written(spark, monkeypatch):
+    written, write = [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, label: (written.append((label, df.columns)), write(df, label))[1])
+    docs = spark.createDataFrame([(0, "one line of twenty characters"), (1, "one line of twenty charactxrs\none lineof twenty characters")], "doc_id long, text string")
+    got = {(r["doc_id"], r["line"], r["of_doc_id"], r["edits"]) for r in duplicate_lines(docs).collect()}
+    assert got == {(1, 0, 0, 1), (1, 1, 0, 1)}
+    assert {label for label, _ in written} == {"lines", "near-lines", "earlier-lines"}

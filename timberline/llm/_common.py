@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -43,6 +44,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of plans that nothing refers to any more; on its own
+    it does so when the driver's heap happens to fill up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release_memory() -> None:
     """Gives freed memory of a Python worker back, as the worker lives on for other tasks."""
     import ctypes

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import fresh_name, materialize, release_memory
+from ._common import fresh_name, materialize, release_memory, release_shuffles
 from ._words import mix, slices
 
 #: Shorter lines (in characters) are compared for equality only.
@@ -22,7 +22,7 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LINES = 1 << 31  # more than a text can have lines
 
-VARIANT_SCHEMA = "swap long, cut long, c long"
+VARIANT_SCHEMA = "key long, c long"
 LINE_SCHEMA = "id {id}, t1 long, line int, text string, side int"
 
 
@@ -177,22 +177,21 @@ def line_variants(texts: list[str], sides: np.ndarray):
     return line, at - s, cut, whole
 
 
-def _variant_batches(batches):
-    """Rows (swap, cut, c) of each variant, and (null, whole, c) of each line."""
-    for b in batches:
-        for lo, hi in slices(b.column("text"), SLICE_BYTES):
-            part = b.slice(lo, hi - lo)
-            c = np.asarray(part.column("c"))
-            line, at, cut, whole = line_variants(part.column("text").to_pylist(), np.asarray(part.column("side")))
-            swap = mix(cut ^ mix(at.astype(np.uint64) + np.uint64(1)))
-            none = np.zeros(len(line) + len(c), bool)
-            none[len(line) :] = True
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([swap, whole]).view(np.int64), mask=none), pa.array(np.concatenate([cut, whole]).view(np.int64)),
-                 pa.array(np.concatenate([c[line], c]))],
-                ["swap", "cut", "c"],
-            )
-    release_memory()
+def _variants(candidates: DataFrame, kind: str) -> DataFrame:
+    """(key, c) of each variant of a line: its swap (cut and place) or its cut; or of each whole line."""
+
+    def run(batches):
+        for b in batches:
+            for lo, hi in slices(b.column("text"), SLICE_BYTES):
+                part = b.slice(lo, hi - lo)
+                c = np.asarray(part.column("c"))
+                line, at, cut, whole = line_variants(part.column("text").to_pylist(), np.asarray(part.column("side")))
+                key = whole if kind == "whole" else cut if kind == "cut" else mix(cut ^ mix(at.astype(np.uint64) + np.uint64(1)))
+                own = c if kind == "whole" else c[line]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own)], ["key", "c"])
+        release_memory()
+
+    return candidates.select("c", "text", "side").mapInArrow(run, VARIANT_SCHEMA)
 
 
 def within_one(x: str, y: str) -> bool:
@@ -225,13 +224,12 @@ def near_links(candidates: DataFrame) -> DataFrame:
     is all that its other holders need, so no pairs within a key are made. Each link
     found is confirmed by the edit distance of the two texts.
     """
-    variants = materialize(candidates.select("c", "text", "side").mapInArrow(_variant_batches, VARIANT_SCHEMA), "variants")
-    cuts, wholes = variants.filter("swap is not null"), variants.filter("swap is null")
-    # dealt out by key once, for the earliest holders and for those that join them
-    held = cuts.select("swap", "c").filter("c is not null").repartition("swap")  # the join's filter, so that both read one exchange
+    # variants are many times the lines and cheap to make: they are made where they are dealt out, and not written.
+    # Swaps are dealt out by key once, for the earliest holders and for those that join them; the filter is the join's
+    held = _variants(candidates, "swap").select(F.col("key").alias("swap"), "c").filter("swap is not null and c is not null").repartition("swap")
     lead = held.groupBy("swap").agg(F.min("c").alias("other"), F.max("c").alias("last")).filter("other < last").drop("last")
     swapped = held.join(lead, "swap").filter("other < c").select("c", "other")
-    met = cuts.select("cut", "c").join(wholes.select("cut", F.col("c").alias("w")), "cut")
+    met = _variants(candidates, "cut").join(_variants(candidates, "whole").select("key", F.col("c").alias("w")), "key")
     met = met.groupBy("w", "c").agg(F.count(F.lit(1)).alias("places")).drop("places")
     longer = met.filter("w < c").select("c", F.col("w").alias("other"))
     shorter = met.filter("c < w").groupBy("w").agg(F.min("c").alias("other")).withColumnRenamed("w", "c")
@@ -248,6 +246,7 @@ def _found(docs: DataFrame, min_chars: int, exact_chars: int, id_col: str, text_
     whole = _whole_number(docs, id_col)
     lines = materialize(split_lines(docs, min_chars, exact_chars, id_col, text_col), "lines")
     candidates = near_candidates(docs, lines, id_col, text_col)
+    release_shuffles(docs.sparkSession)  # whole texts were dealt out for the candidates
     near = near_links(candidates)
     classes = lines.groupBy("a", "b").agg(F.min(_place(whole)).alias("first"), F.count(F.lit(1)).alias("many"))
     goal = (
